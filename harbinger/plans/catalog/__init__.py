@@ -25,4 +25,4 @@ def register(name: str, check: str | None = None):
 
 
 def load() -> None:
-    from harbinger.plans.catalog import trajectory  # noqa: F401
+    from harbinger.plans.catalog import ingest, trajectory  # noqa: F401

@@ -97,3 +97,120 @@ def snapshots(spark: SparkSession, sf_dir: str, with_coords: bool = False) -> Da
     if with_coords:
         out = out.join(vectors(spark, sf_dir), ["model", "article_id"])
     return out
+
+
+def raw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Untidy article rows: every id twice, some ids missing, dates as text in three
+    spellings and some that are no dates."""
+    doc = table(spark, sf_dir, "documents")
+    n = F.col("doc_id")
+    naive = F.lit(EPOCH).cast("timestamp_ntz") + F.make_dt_interval(
+        days=(n % 30).cast("int"), hours=(n % 5 * 3).cast("int")
+    )
+    plain = F.date_format(naive, "yyyy-MM-dd'T'HH:mm:ss")
+    text = (
+        F.when(n % 7 == 3, F.lit("unknown"))
+        .when(n % 3 == 0, F.concat(plain, F.lit("Z")))
+        .when(n % 3 == 1, F.concat(plain, F.lit("+02:00")))
+        .otherwise(plain)
+    )
+    return doc.select(
+        F.when(n % 11 != 0, (n / 2).cast("bigint").cast("string")).alias("article_id"),
+        n.alias("ingest_pos"),
+        text.alias("pub"),
+        "lang",
+    )
+
+
+def news_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collected items as JSON text in the three publisher spellings, with page bodies."""
+    pages = table(spark, sf_dir, "pages")
+    n = F.col("page_id")
+    title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
+    at = F.lit("2025-04-02T07:00:00").cast("timestamp_ntz") + _days(n % 54)
+    mail = F.concat(F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
+    item = (
+        F.when(
+            n % 3 == 0,
+            F.to_json(
+                F.struct(
+                    title.alias("title"),
+                    F.struct(F.concat(F.lit("Paper "), n % 9).alias("title")).alias("publisher"),
+                    F.col("url"),
+                    mail.alias("published date"),
+                )
+            ),
+        )
+        .when(
+            n % 3 == 1,
+            F.to_json(
+                F.struct(
+                    title.alias("title"),
+                    F.struct(F.concat(F.lit("Herald "), n % 9).alias("name")).alias("publisher"),
+                    F.col("url").alias("link"),
+                    F.date_format(at, "yyyy-MM-dd").alias("published_date"),
+                )
+            ),
+        )
+        .otherwise(
+            F.to_json(
+                F.struct(
+                    title.alias("title"),
+                    F.concat(F.lit("Gazette "), n % 9).alias("publisher"),
+                    F.concat(F.lit("about "), n).alias("description"),
+                    F.col("url"),
+                )
+            )
+        )
+    )
+    return pages.select(
+        "page_id",
+        item.alias("item"),
+        F.lit("changement climatique").alias("query"),
+        F.date_format(at, "yyyy-MM-dd").alias("collection_day"),
+        F.lit(None).cast("string").alias("full_title"),
+        F.when(n % 5 != 0, F.col("html")).alias("full_text"),
+    )
+
+
+def payload_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of up to 100 posts as JSON text, with side lists that miss some entries."""
+    ev = table(spark, sf_dir, "events")
+    n, u = F.col("event_id"), F.col("user_id")
+    post = F.struct(
+        n.cast("string").alias("id"),
+        u.cast("string").alias("author_id"),
+        F.col("event_type").alias("text"),
+        F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"),
+        F.struct(
+            F.array(F.concat(F.lit("m"), n % 7), F.concat(F.lit("m"), n % 13)).alias("media_keys")
+        ).alias("attachments"),
+        F.struct(F.concat(F.lit("p"), n % 5).alias("place_id")).alias("geo"),
+        F.array(
+            F.struct((n - 1).cast("string").alias("id"), F.lit("quoted").alias("type"))
+        ).alias("referenced_tweets"),
+    )
+    user = F.struct(
+        u.cast("string").alias("id"),
+        F.concat(F.lit("user "), u).alias("name"),
+        F.struct(
+            (u * 10).cast("double").alias("followers_count"),
+            (u * 3).cast("double").alias("tweet_count"),
+            (u % 4).cast("double").alias("listed_count"),
+        ).alias("public_metrics"),
+    )
+    grouped = ev.groupBy(F.floor(n / 100).alias("page_id")).agg(
+        F.collect_list(post).alias("data"),
+        F.array_distinct(F.collect_list(F.when(u % 10 != 9, user))).alias("users"),
+        F.collect_list(F.when(n % 2 == 0, post)).alias("tweets"),
+    )
+    media = F.array(*[F.struct(F.lit(f"m{i}").alias("media_key"), F.lit("photo").alias("type")) for i in range(10)])
+    places = F.array(*[F.struct(F.lit(f"p{i}").alias("id"), F.lit(f"Place {i}").alias("full_name")) for i in range(4)])
+    body = F.to_json(
+        F.struct(
+            "data",
+            F.struct("users", media.alias("media"), places.alias("places"), "tweets").alias("includes"),
+            F.struct(F.col("page_id").cast("string").alias("next_token")).alias("meta"),
+        )
+    )
+    return grouped.select("page_id", body.alias("body"))

@@ -150,3 +150,46 @@ step(
     """,
     "totals",
 )
+step(
+    "raw_articles",
+    """
+    SELECT CASE WHEN doc_id % 11 <> 0 THEN CAST(doc_id // 2 AS VARCHAR) END AS article_id,
+           doc_id AS ingest_pos, lang,
+           CASE WHEN doc_id % 7 = 3 THEN NULL ELSE
+             TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 30 AS INT)) + to_hours(CAST(doc_id % 5 * 3 AS INT))
+             - to_hours(CASE WHEN doc_id % 3 = 1 THEN 2 ELSE 0 END) END AS pub
+    FROM documents
+    """,
+)
+step(
+    "records",
+    r"""
+    SELECT *, substr(sha1(coalesce(nullif(media_url, ''), title)), 1, 16) AS article_id,
+           trim(title || '. ' || lead_paragraph, '. ') AS embedding_text,
+           lower(replace(regexp_extract(media_url, '^[a-z]+://([^/?#]*)', 1), 'www.', '')) AS domain
+    FROM (
+      SELECT page_id, 'changement climatique' AS query, strftime(moment, '%Y-%m-%d') AS collection_day,
+             strftime(moment, '%Y-%m-%d') AS publication_date, title, description, body_text,
+             CASE WHEN body_text <> '' THEN body_text ELSE description END AS lead_paragraph, media_url,
+             CASE page_id % 3 WHEN 0 THEN 'Paper ' WHEN 1 THEN 'Herald ' ELSE 'Gazette ' END || (page_id % 9) AS source,
+             CASE WHEN page_id % 3 = 0 THEN strftime(moment, '%a, %d %b %Y %H:%M:%S GMT') ELSE '' END AS raw_published
+      FROM (
+        SELECT page_id, TIMESTAMP '2025-04-02 07:00:00' + to_days(CAST(page_id % 54 AS INT)) AS moment,
+               trim(regexp_replace(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1),
+                 '[\s\x0b\x1c-\x1f\x85\p{Z}]+', ' ', 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g')) AS title,
+               CASE WHEN page_id % 3 = 2 THEN 'about ' || page_id ELSE '' END AS description,
+               CASE WHEN page_id % 5 <> 0 THEN
+                 trim(regexp_replace(regexp_replace(html, '[\s\x0b\x1c-\x1f\x85\p{Z}]+', ' ', 'g'),
+                   '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g')) ELSE '' END AS body_text,
+               regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''),
+                 '([?&])utm_[^=&]*=[^&]*&?', '\1', 'gi'), '[?&]$', '') AS media_url
+        FROM pages))
+    """,
+)
+step(
+    "posts",
+    """
+    SELECT event_id // 100 AS page_id, event_id, user_id, event_type, CAST(ts AS TIMESTAMP) AS ts,
+           user_id % 10 <> 9 AS has_user FROM events
+    """,
+)

@@ -24,9 +24,9 @@ PAGE_SCHEMA = (
 )
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """One row per landed page; the file name is the page id."""
-    pages = spark.read.schema(PAGE_SCHEMA).option("multiLine", True).json(path)
+def read_pages(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """One row per landed page: a JSON document per file, or per line."""
+    pages = spark.read.schema(PAGE_SCHEMA).option("multiLine", one_per_file).json(path)
     return pages.withColumn("page_id", F.input_file_name())
 
 
