@@ -214,3 +214,23 @@ def payload_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     return grouped.select("page_id", body.alias("body"))
+
+
+# A dozen words of the documents with made-up scores, and phrases with entity labels.
+LEXICON = [
+    ("the", 0.1, 0.2), ("with", 0.3, -0.4), ("that", 0.5, 0.6), ("les", 0.2, -0.1), ("avec", 0.9, 1.2),
+    ("une", 0.4, -0.8), ("und", 0.7, 0.5), ("für", 0.6, -1.5), ("que", 0.8, 0.3), ("été", 1.0, 1.9),
+    ("the_other", 0.3, 0.3), ("pour", 0.15, -0.25),
+]
+GAZETTEER = [
+    ("of the", "ORG"), ("the", "LOC"), ("in", "GPE"), ("with that", "PER"), ("is", "PERSON"),
+    ("les", "LOC"), ("avec", "ORG"), ("on the and", "MISC"), ("pour", "EVENT"), ("und", "PER"),
+]
+
+
+def lexicon(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(LEXICON, "token STRING, subjectivity DOUBLE, valence DOUBLE")
+
+
+def gazetteer(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(GAZETTEER, "phrase STRING, label STRING")

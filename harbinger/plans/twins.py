@@ -193,3 +193,178 @@ step(
            user_id % 10 <> 9 AS has_user FROM events
     """,
 )
+
+
+def values(rows) -> str:
+    return "VALUES " + ", ".join(
+        "(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"{x}::DOUBLE" for x in row) + ")" for row in rows
+    )
+
+
+from harbinger.plans.inputs import GAZETTEER, LEXICON  # noqa: E402
+
+BLANKS = "' ' || chr(9) || chr(10) || chr(13)"
+step("texts", f"SELECT article_id, trim(title || ' ' || description, {BLANKS}) AS text FROM articles", "articles")
+step(
+    "measures",
+    r"""
+    SELECT article_id, round(coalesce(list_avg(list_transform(parts, lambda p: len(regexp_extract_all(p, '[\p{L}\p{N}_]+')))), 0), 6)
+             AS avg_sentence_len_words,
+           round(coalesce(list_avg(list_transform(words, lambda w: length(w))), 0), 6) AS avg_word_len_chars,
+           coalesce(list_sum(syl), 0)::DOUBLE AS total_syllables, round(coalesce(list_avg(syl), 0), 6) AS avg_syllables_per_word,
+           length(text)::DOUBLE AS len_chars, len(words)::DOUBLE AS len_words
+    FROM (SELECT *, list_transform(words, lambda w: CASE WHEN regexp_matches(w, '\p{L}') THEN
+              greatest(len(regexp_extract_all(lower(w), '[aeiouyàâäéèêëïîôöùûüÿœ]+')), 1) ELSE 0 END) AS syl
+          FROM (SELECT article_id, text, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS words,
+                  list_filter(string_split_regex(text, '[.!?]+'),
+                    lambda p: regexp_matches(p, '[^\s\x0b\x1c-\x1f\x85\p{Z}]')) AS parts FROM texts))
+    """,
+    "texts",
+)
+step(
+    "sentiment",
+    r"""
+    SELECT article_id, CASE WHEN text = '' THEN 0 ELSE coalesce(subj, 0) END AS text_subjectivity,
+           CASE WHEN text = '' THEN 0 ELSE 1 - abs(coalesce(s, 0) / sqrt(coalesce(s, 0) * coalesce(s, 0) + 15)) END
+             AS text_neutrality
+    FROM texts LEFT JOIN (
+      SELECT article_id, avg(subjectivity) AS subj, sum(valence) AS s
+      FROM (SELECT article_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS token FROM texts)
+      JOIN ("""
+    + values(LEXICON)
+    + """) AS lex(token, subjectivity, valence) USING (token) GROUP BY article_id) USING (article_id)
+    """,
+    "texts",
+)
+step(
+    "mentions",
+    r"""
+    SELECT article_id, phrase AS ent_text, label FROM (
+      SELECT article_id, unnest(list_concat(words,
+        list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]),
+        list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]))) AS phrase
+      FROM (SELECT article_id, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS words FROM texts))
+    JOIN ("""
+    + values(GAZETTEER)
+    + """) AS gaz(phrase, label) USING (phrase)
+    """,
+    "texts",
+)
+step(
+    "entities",
+    """
+    SELECT article_id, coalesce(total, 0)::DOUBLE AS ner_total_ents, coalesce(forms, 0)::DOUBLE AS ner_distinct_ents,
+           coalesce(per, 0)::DOUBLE AS ner_person, coalesce(org, 0)::DOUBLE AS ner_org,
+           coalesce(loc, 0)::DOUBLE AS ner_loc, coalesce(misc, 0)::DOUBLE AS ner_misc
+    FROM articles LEFT JOIN (
+      SELECT article_id, count(*) AS total, count(DISTINCT ent_text) AS forms,
+             count_if(label IN ('PER', 'PERSON')) AS per, count_if(label = 'ORG') AS org,
+             count_if(label IN ('LOC', 'GPE')) AS loc,
+             count_if(label NOT IN ('PER', 'PERSON', 'ORG', 'LOC', 'GPE')) AS misc
+      FROM mentions GROUP BY article_id) USING (article_id)
+    """,
+    "articles",
+    "mentions",
+)
+
+DIMS = range(1, 17)
+step(
+    "placed",
+    "SELECT k.*, v.coords FROM kept k JOIN vectors v USING (model, article_id)",
+    "kept",
+    "vectors",
+)
+step(
+    "asked",
+    "SELECT a.model, a.article_id, a.ta, v.coords FROM at_pub a JOIN vectors v USING (model, article_id)",
+    "at_pub",
+    "vectors",
+)
+step(
+    "shapes",
+    "SELECT model, snapshot_date, topic_id, count(*) AS n, ["
+    + ", ".join(f"avg(coords[{i}])" for i in DIMS)
+    + "] AS centroid, ["
+    + ", ".join(f"var_pop(coords[{i}]) + 1e-8" for i in DIMS)
+    + "] AS variance FROM placed WHERE topic_id <> -1 GROUP BY model, snapshot_date, topic_id",
+    "placed",
+)
+step(
+    "to_centroids",
+    """
+    SELECT model, article_id, ds[1] AS d1, ds[2] AS d2, mahal FROM (
+      SELECT q.model, q.article_id, list_sort(list(list_distance(q.coords, s.centroid))) AS ds,
+        min(CASE WHEN s.n >= 5 THEN list_sum(list_transform(range(1, 17),
+          lambda i: (q.coords[i] - s.centroid[i]) * (q.coords[i] - s.centroid[i]) / s.variance[i])) END) AS mahal
+      FROM asked q JOIN shapes s ON s.model = q.model AND s.snapshot_date = q.ta GROUP BY q.model, q.article_id)
+    """,
+    "asked",
+    "shapes",
+)
+step(
+    "near",
+    """
+    SELECT q.model, q.article_id, list_distance(q.coords, h.coords) AS d, h.is_outlier
+    FROM asked q JOIN placed h ON h.model = q.model AND h.snapshot_date = q.ta
+    """,
+    "asked",
+    "placed",
+)
+step(
+    "knn",
+    """
+    SELECT model, article_id, avg(d) AS knn_mean, stddev_pop(d) AS knn_std FROM (
+      SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY model, article_id ORDER BY d) <= 20)
+    GROUP BY model, article_id
+    """,
+    "near",
+)
+step(
+    "proto",
+    """
+    SELECT model, article_id, avg(d) AS proto FROM (
+      SELECT * FROM near WHERE is_outlier QUALIFY row_number() OVER (PARTITION BY model, article_id ORDER BY d) <= 10)
+    GROUP BY model, article_id
+    """,
+    "near",
+)
+step(
+    "geo",
+    """
+    SELECT a.model, a.article_id, round(d1, 6) AS d1_nearest_centroid, round(d2, 6) AS d2_second_centroid,
+           round(d2 - d1, 6) AS margin_d2_minus_d1, round(mahal, 6) AS mahal_nearest, round(knn_mean, 6) AS knn_mean_k20,
+           round(knn_std, 6) AS knn_std_k20, round(proto, 6) AS outlier_proto_mean_dist,
+           s.outlier_score, (coalesce(o.n, 0) > 0)::INT::DOUBLE AS has_recent_outliers, coalesce(o.n, 0)::DOUBLE AS n_recent_outliers
+    FROM asked a JOIN kept s ON s.model = a.model AND s.article_id = a.article_id AND s.snapshot_date = a.ta
+    LEFT JOIN to_centroids c ON c.model = a.model AND c.article_id = a.article_id
+    LEFT JOIN knn ON knn.model = a.model AND knn.article_id = a.article_id
+    LEFT JOIN proto p ON p.model = a.model AND p.article_id = a.article_id
+    LEFT JOIN (SELECT model, snapshot_date, count(*) AS n FROM kept WHERE is_outlier GROUP BY ALL) o
+      ON o.model = a.model AND o.snapshot_date = a.ta
+    """,
+    "asked",
+    "kept",
+    "to_centroids",
+    "knn",
+    "proto",
+)
+RANKED = [
+    "d1_nearest_centroid",
+    "d2_second_centroid",
+    "margin_d2_minus_d1",
+    "mahal_nearest",
+    "knn_mean_k20",
+    "knn_std_k20",
+    "outlier_proto_mean_dist",
+]
+step(
+    "geo_pct",
+    "SELECT model, article_id, outlier_score, has_recent_outliers, n_recent_outliers, "
+    + ", ".join(
+        f"""CASE WHEN {c} IS NOT NULL THEN (rank() OVER (PARTITION BY model ORDER BY {c} NULLS LAST)
+        + (count(*) OVER (PARTITION BY model, {c}) - 1) / 2.0::DOUBLE) / (count({c}) OVER (PARTITION BY model) + 1) END AS {c}_pct"""
+        for c in RANKED
+    )
+    + " FROM geo",
+    "geo",
+)
