@@ -40,28 +40,49 @@ def dense_index(df: DataFrame, key: str, within: list[str] | None = None, out: s
     return joined.withColumn(out, F.col("_off") + rank - 1).drop("_b", "_off")
 
 
-def average_rank(df: DataFrame, group: list[str], value: str, out: str, total: str) -> DataFrame:
-    """Average rank of ``value`` per group (ties share the mean rank) and the non-null count.
+def running_counts(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """Per group and distinct value: copies ``m``, rows up to and including it ``cum``, and
+    non-null rows of the group ``total``.
 
-    Ranks are made on distinct values with their multiplicities, so copies cost one row.
-    Groups may be large, so the running count is taken in two steps: inside value
-    buckets cut at approximate quantiles (which only balance the work) and over the
-    bucket totals.
+    Counting first means that copies cost one row.  Groups may be large, so the running
+    sum is taken in two steps: inside value buckets cut at approximate quantiles (which
+    only balance the work) and over the bucket totals.
     """
-    have = df.where(F.col(value).isNotNull())
-    counted = have.groupBy(*group, value).agg(F.count("*").alias("_m"))
+    counted = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("m"))
     cuts = [i / 256 for i in range(1, 256)]
     span = counted.groupBy(*group).agg(
-        F.percentile_approx(value, cuts, 2000).alias("_cuts"), F.sum("_m").alias(total)
+        F.percentile_approx(value, cuts, 2000).alias("_cuts"), F.sum("m").alias("total")
     )
     part = F.size(F.filter(F.array_distinct("_cuts"), lambda q: q < F.col(value)))
     placed = counted.join(span, group).withColumn("_b", part).drop("_cuts")
-    totals = placed.groupBy(*group, "_b").agg(F.sum("_m").alias("_bm"))
+    totals = placed.groupBy(*group, "_b").agg(F.sum("m").alias("_bm"))
     before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     shift = totals.select(*group, "_b", F.coalesce(F.sum("_bm").over(before), F.lit(0)).alias("_off"))
     inside = Window.partitionBy(*group, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = placed.join(shift, [*group, "_b"]).withColumn("_cum", F.col("_off") + F.sum("_m").over(inside))
-    ranks = ranked.select(
-        *group, value, (F.col("_cum") - (F.col("_m") - 1) / F.lit(2.0)).alias(out), F.col(total)
+    return (
+        placed.join(shift, [*group, "_b"])
+        .withColumn("cum", F.col("_off") + F.sum("m").over(inside))
+        .select(*group, value, "m", "cum", "total")
+    )
+
+
+def average_rank(df: DataFrame, group: list[str], value: str, out: str, total: str) -> DataFrame:
+    """Average rank of ``value`` per group (ties share the mean rank) and the non-null count."""
+    ranks = running_counts(df, group, value).select(
+        *group, value, (F.col("cum") - (F.col("m") - 1) / F.lit(2.0)).alias(out), F.col("total").alias(total)
     )
     return df.join(ranks, [*group, value], "left")
+
+
+def exact_median(df: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
+    """Median of the non-null values, the two middle ones averaged.
+
+    Unlike the built-in aggregate it never holds a whole group in one task.
+    """
+    counts = running_counts(df, group, value)
+    low, high = F.floor((F.col("total") + 1) / 2), F.ceil((F.col("total") + 1) / 2)
+    picked = counts.groupBy(*group).agg(
+        F.min(F.when(F.col("cum") >= low, F.col(value))).alias("_l"),
+        F.min(F.when(F.col("cum") >= high, F.col(value))).alias("_h"),
+    )
+    return picked.select(*group, ((F.col("_l") + F.col("_h")) / 2).alias(out))

@@ -368,3 +368,78 @@ step(
     + " FROM geo",
     "geo",
 )
+
+step(
+    "cuts",
+    """
+    SELECT article_id, CASE WHEN pub = date_trunc('day', pub) THEN pub + INTERVAL 1 DAY ELSE pub END AS cut FROM articles
+    """,
+    "articles",
+)
+step(
+    "cuts_tod",
+    """
+    SELECT article_id, CASE WHEN pub_tod = date_trunc('day', pub_tod) THEN pub_tod + INTERVAL 1 DAY ELSE pub_tod END AS cut
+    FROM articles
+    """,
+    "articles",
+)
+step(
+    "seen",
+    "SELECT s.*, c.cut FROM shares s JOIN cuts_tod c USING (article_id) WHERE s.created_at < c.cut",
+    "shares",
+    "cuts_tod",
+)
+step(
+    "firsts",
+    "SELECT author_id, article_id, min(created_at) AS first FROM shares GROUP BY author_id, article_id",
+    "shares",
+)
+step(
+    "weights",
+    """
+    SELECT t.cut, x.article_id AS a, y.article_id AS b, count(*) AS w
+    FROM firsts x JOIN firsts y ON x.author_id = y.author_id AND x.article_id < y.article_id
+    JOIN (SELECT DISTINCT cut FROM cuts) t ON greatest(x.first, y.first) < t.cut
+    GROUP BY t.cut, x.article_id, y.article_id
+    """,
+    "firsts",
+    "cuts",
+)
+step(
+    "links",
+    "SELECT cut, a, b, w FROM weights UNION ALL SELECT cut, b, a, w FROM weights",
+    "weights",
+)
+step(
+    "ego",
+    "SELECT c.article_id, c.cut, l.b AS neighbour, l.w AS weight FROM cuts c JOIN links l ON l.a = c.article_id AND l.cut = c.cut",
+    "cuts",
+    "links",
+)
+step(
+    "clustering",
+    """
+    SELECT e.article_id, CASE WHEN count(DISTINCT e.neighbour) < 2 THEN 0 ELSE
+             coalesce(any_value(t.s), 0) / any_value(m.mw) / (count(DISTINCT e.neighbour) * (count(DISTINCT e.neighbour) - 1)) END AS cc
+    FROM ego e JOIN (SELECT cut, max(w) AS mw FROM weights GROUP BY cut) m USING (cut)
+    LEFT JOIN (SELECT x.article_id, sum(cbrt((x.weight * y.weight * l.w)::DOUBLE)) AS s
+               FROM ego x JOIN ego y ON x.article_id = y.article_id AND x.neighbour <> y.neighbour
+               JOIN links l ON l.cut = x.cut AND l.a = x.neighbour AND l.b = y.neighbour
+               GROUP BY x.article_id) t ON t.article_id = e.article_id
+    GROUP BY e.article_id
+    """,
+    "ego",
+    "weights",
+    "links",
+)
+step(
+    "soc",
+    """
+    SELECT article_id, count(DISTINCT author_id)::DOUBLE AS users, median(followers_count) AS f, median(tweet_count) AS t,
+           median(listed_count) AS l
+    FROM shares s JOIN cuts c USING (article_id) WHERE s.created_at < c.cut GROUP BY article_id
+    """,
+    "shares",
+    "cuts",
+)
