@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from harbinger.functions.columns import as_col, nan_to_null
 from harbinger.functions.keyed import exact_median
-from harbinger.session import keep
+from harbinger.session import cut_lineage
 
 METRICS = {
     "followers_count": "soc_median_user_public_metrics_followers_count",
@@ -168,56 +168,62 @@ def ego_edges(cuts: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.where(F.col("weight") > 0).select("article_id", "cut", F.col("b").alias("neighbour"), "weight")
 
 
-def heaviest(edges: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Largest edge weight of the whole graph as of each cut-off in use."""
-    grown = edges.select(
-        F.explode(
-            F.transform(
-                "hist",
-                lambda s: F.struct(
-                    s.getField("step").alias("step"), weight_at(F.col("hist"), s.getField("step")).alias("w")
-                ),
-            )
-        ).alias("s")
-    ).select("s.*")
-    per_step = grown.groupBy("step").agg(F.max("w").alias("w"))
-    used = cuts.select(F.col("cut").alias("step")).where(F.col("cut").isNotNull()).distinct()
-    every = used.join(per_step, "step", "left")
-    return _running(every, F.max("w"), "max_weight").withColumnRenamed("step", "cut")
+def heaviest(graph: DataFrame) -> DataFrame:
+    """Largest edge weight of the whole graph at each cut-off."""
+    return graph.groupBy("cut").agg(F.max("weight").alias("max_weight"))
 
 
 def triangles(edges: DataFrame) -> DataFrame:
-    """Triangles of the final graph, once each, with the histories of their three edges.
+    """Triangles ``t, x, y`` of the final graph, once each.
 
     Edges point from the end with fewer neighbours to the one with more, so a vertex
     starts at most sqrt(2 * edges) of them and hubs start few.
     """
-    degree = both_ways(edges).groupBy("a").agg(F.count("*").alias("deg"))
-    da = degree.select("a", F.col("deg").alias("da"))
-    db = degree.select(F.col("a").alias("b"), F.col("deg").alias("db"))
-    ranked = edges.join(da, "a").join(db, "b")
-    forward = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
-    tail = F.when(forward, F.col("a")).otherwise(F.col("b"))
-    head = F.when(forward, F.col("b")).otherwise(F.col("a"))
-    arrows = ranked.select(tail.alias("t"), head.alias("h"), "hist")
-    one = arrows.select("t", F.col("h").alias("x"), F.col("hist").alias("tx"))
-    two = arrows.select("t", F.col("h").alias("y"), F.col("hist").alias("ty"))
-    wedges = one.join(two, "t").where(F.col("x") < F.col("y"))
-    closing = edges.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("hist").alias("xy"))
-    return wedges.join(closing, ["x", "y"])
-
-
-def weighted_clustering(cuts: DataFrame, edges: DataFrame) -> DataFrame:
+    ends = edges.select("a", "b")
+    degree = ends.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("deg"))
+    ranked = ends.join(degree.select(F.col("v").alias("a"), F.col("deg").alias("da")), "a").join(
+        degree.select(F.col("v").alias("b"), F.col("deg").alias("db")), "b"
+    )
+    forward = F.col("da") <= F.col("db")
+    arrows = ranked.select(
+        F.when(forward, F.col("a")).otherwise(F.col("b")).alias("t"),
+        F.when(forward, F.col("b")).otherwise(F.col("a")).alias("h"),
+    )
+    wedges = (
+        arrows.withColumnRenamed("h", "x").join(arrows.withColumnRenamed("h", "y"), "t").where(F.col("x") < F.col("y"))
+    )
+    return wedges.join(ends.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"])
+
+
+def weighted_clustering(ego: DataFrame, edges: DataFrame, graph: DataFrame, top: DataFrame) -> DataFrame:
     """Geometric-mean weighted clustering of each article as of its cut-off; an article
-    with fewer than two neighbours has 0."""
-    ego = ego_edges(cuts, edges).groupBy("article_id", "cut").agg(F.count("*").alias("deg"))
-    tri = triangles(edges)
-    corners = tri.select(
-        F.explode(F.array("t", "x", "y")).alias("article_id"), "tx", "ty", "xy"
-    ).join(cuts, "article_id")
-    product = weight_at("tx", "cut") * weight_at("ty", "cut") * weight_at("xy", "cut")
-    closed = corners.groupBy("article_id").agg(F.sum(F.cbrt(product.cast("double"))).alias("closed"))
-    joined = ego.join(closed, "article_id", "left").join(F.broadcast(heaviest(edges, cuts)), "cut", "left")
+    with fewer than two neighbours has 0.
+
+    ``graph`` is the graph at the cut-offs (``graph_at``), ``top`` its heaviest weights.
+    Each corner of a triangle is weighed at its own cut-off by equi-joins; a corner
+    whose triangle is not closed yet finds no partner and goes.
+    """
+    corners = triangles(edges).select(
+        F.explode(
+            F.array(
+                F.struct(F.col("t").alias("article_id"), F.col("x").alias("p"), F.col("y").alias("q")),
+                F.struct(F.col("x").alias("article_id"), F.col("t").alias("p"), F.col("y").alias("q")),
+                F.struct(F.col("y").alias("article_id"), F.col("t").alias("p"), F.col("x").alias("q")),
+            )
+        ).alias("c")
+    ).select("c.*")
+    up = ego.select("article_id", "cut", F.col("neighbour").alias("p"), F.col("weight").alias("wp"))
+    uq = ego.select("article_id", F.col("neighbour").alias("q"), F.col("weight").alias("wq"))
+    far = graph.select("cut", F.col("a").alias("p"), F.col("b").alias("q"), F.col("weight").alias("wf"))
+    closed = (
+        corners.join(up, ["article_id", "p"])
+        .join(uq, ["article_id", "q"])
+        .join(far, ["cut", "p", "q"])
+        .groupBy("article_id")
+        .agg(F.sum(F.cbrt((F.col("wp") * F.col("wq") * F.col("wf")).cast("double"))).alias("closed"))
+    )
+    degrees = ego.groupBy("article_id", "cut").agg(F.count("*").alias("deg"))
+    joined = degrees.join(closed, "article_id", "left").join(top, "cut", "left")
     deg = F.col("deg")
     value = F.when(
         deg >= 2, 2 * F.coalesce("closed", F.lit(0.0)) / F.col("max_weight") / (deg * (deg - 1))
@@ -255,7 +261,7 @@ def communities(graph: DataFrame, rounds: int = 5) -> DataFrame:
     own = graph.groupBy("cut", "a").agg(F.max("weight").alias("weight"))
     # an article votes for itself over a loop, so that a round reads the labels once
     loops = own.select("cut", "a", F.col("a").alias("b"), "weight")
-    votes = keep(graph.select("cut", "a", "b", "weight").unionByName(loops))
+    votes = cut_lineage(graph.select("cut", "a", "b", "weight").unionByName(loops))
     labels = own.select("cut", F.col("a").alias("b"), F.col("a").alias("label"))
     for _ in range(rounds):
         tally = votes.join(labels, ["cut", "b"]).groupBy("cut", "a", "label").agg(F.sum("weight").alias("weight"))
@@ -292,8 +298,9 @@ def community_sizes(cuts: DataFrame, parts: DataFrame, pair_counts: DataFrame) -
 
 
 def share_graph(articles: DataFrame, shares: DataFrame, block: int = USER_BLOCK) -> DataFrame:
-    """Projected graph with the cut-offs of the articles as its time axis."""
-    return keep(projection(to_steps(first_shares(shares), cutoffs(articles)), block))
+    """Projected graph with the cut-offs of the articles as its time axis; a stage of its own,
+    written to the shared folder, since every graph feature starts from it."""
+    return cut_lineage(projection(to_steps(first_shares(shares), cutoffs(articles)), block))
 
 
 def social_features(articles: DataFrame, shares: DataFrame | None, rounds: int = 5) -> DataFrame:
@@ -304,14 +311,14 @@ def social_features(articles: DataFrame, shares: DataFrame | None, rounds: int =
     cuts = cutoffs(articles)
     hist = shares_as_of(articles, shares)
     edges = share_graph(articles, shares)
-    ego = ego_edges(cuts, edges)
-    # communities are needed at the cut-offs of articles that have edges there
-    used = ego.select("article_id", "cut").distinct()
-    parts = keep(communities(graph_at(used, edges), rounds))
+    ego = cut_lineage(ego_edges(cuts, edges))
+    # the graph is needed at the cut-offs of articles that have edges there
+    graph = cut_lineage(graph_at(ego.select("cut").distinct(), edges))
+    parts = cut_lineage(communities(graph, rounds))
     frames = [
         unique_users(hist),
         user_medians(hist),
-        weighted_clustering(cuts, edges),
+        weighted_clustering(ego, edges, graph, heaviest(graph)),
         bridge_ratios(ego, parts),
         community_sizes(cuts, parts, pairs_as_of(articles, shares)),
     ]

@@ -89,7 +89,9 @@ def share_projection(spark, sf_dir):
 )
 def weighted_clustering(spark, sf_dir):
     articles, shares = both(spark, sf_dir)
-    out = S.weighted_clustering(S.cutoffs(articles), S.share_graph(articles, shares))
+    edges, cuts = S.share_graph(articles, shares), S.cutoffs(articles)
+    graph = S.cut_lineage(S.graph_at(cuts, edges))
+    out = S.weighted_clustering(S.cut_lineage(S.ego_edges(cuts, edges)), edges, graph, S.heaviest(graph))
     return out.withColumn("media_weighted_clustering", r6("media_weighted_clustering"))
 
 
