@@ -25,4 +25,4 @@ def register(name: str, check: str | None = None):
 
 
 def load() -> None:
-    from harbinger.plans.catalog import geometry, ingest, social, texts, trajectory  # noqa: F401
+    from harbinger.plans.catalog import evaluation, forward, geometry, ingest, social, texts, trajectory  # noqa: F401

@@ -234,3 +234,52 @@ def lexicon(spark: SparkSession) -> DataFrame:
 
 def gazetteer(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(GAZETTEER, "phrase STRING, label STRING")
+
+
+SETTINGS = ["all_features", "no_geom", "no_social", "no_text", "only_geom", "only_social", "only_text"]
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in scores of seven settings on the labelled documents in five folds."""
+    lab = table(spark, sf_dir, "labels")
+    items = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("ablation")) for i, n in enumerate(SETTINGS)])
+    spread = lab.select("doc_id", F.col("quality").cast("double").alias("label_TOA"), F.explode(items).alias("s"))
+    value = (F.col("doc_id") * 53 + F.col("s.i") * (F.col("doc_id") % 5 + 2) * 7) % 100
+    return spread.select(
+        "doc_id", "s.ablation", (F.col("doc_id") % 5 + 1).cast("int").alias("fold"), "label_TOA",
+        (value / F.lit(100.0)).alias("score"),
+    )
+
+
+def document_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature matrix over the labelled documents: quality as label at k = 1, toxicity at k = 2."""
+    from harbinger.functions.text import text_measures
+
+    doc = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    goals = F.array(
+        F.struct(F.lit(1).alias("agreement_k"), F.col("quality").cast("double").alias("label_TOA")),
+        F.struct(F.lit(2).alias("agreement_k"), F.col("toxic").cast("double").alias("label_TOA")),
+    )
+    cols = text_measures("text")
+    return doc.select(
+        F.col("doc_id").cast("string").alias("article_url"),
+        F.explode(goals).alias("g"),
+        *[c.alias(n) for n, c in cols.items()],
+        (F.col("n_chars") % 7).cast("double").alias("soc_unique_users"),
+        ((F.col("doc_id") * 37 % 100) / F.lit(100.0)).alias("outlier_score_mean"),
+    ).select("article_url", "g.*", *cols, "soc_unique_users", "outlier_score_mean")
+
+
+def dated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forward-chaining input: labelled documents with a publication-time date in ten weeks."""
+    doc = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    from harbinger.functions.text import text_measures
+
+    cols = text_measures("text")
+    return doc.select(
+        F.col("doc_id").alias("media_url"),
+        (F.lit(EPOCH).cast("timestamp_ntz") + _days(F.col("doc_id") * 13 % 70)).alias("TA"),
+        F.col("quality").cast("int").alias("y"),
+        F.col("lang").alias("true_subclass"),
+        *[c.alias(n) for n, c in cols.items()],
+    )

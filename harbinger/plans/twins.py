@@ -443,3 +443,88 @@ step(
     "shares",
     "cuts",
 )
+
+from harbinger.plans.inputs import SETTINGS  # noqa: E402
+
+step(
+    "predictions",
+    "SELECT doc_id, ablation, CAST(doc_id % 5 + 1 AS INT) AS fold, quality::DOUBLE AS y, "
+    "((doc_id * 53 + i * (doc_id % 5 + 2) * 7) % 100) / 100.0::DOUBLE AS p FROM labels, (VALUES "
+    + ", ".join(f"({i}, '{n}')" for i, n in enumerate(SETTINGS))
+    + ") AS s(i, ablation)",
+)
+step(
+    "fold_scores",
+    """
+    SELECT ablation, fold, coalesce(2 * tp::DOUBLE / nullif(2 * tp + fp + fn, 0), 0) AS f1,
+           coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0) AS pr, coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) AS rc
+    FROM (SELECT ablation, fold, count_if(y = 1 AND p >= 0.5) AS tp, count_if(y = 0 AND p >= 0.5) AS fp,
+                 count_if(y = 1 AND p < 0.5) AS fn FROM predictions GROUP BY ablation, fold)
+    """,
+    "predictions",
+)
+COMPARED = [
+    ("all_features", "no_geom"), ("all_features", "only_geom"), ("all_features", "no_social"),
+    ("all_features", "no_text"), ("only_geom", "only_text"), ("only_geom", "only_social"),
+]
+step(
+    "compared",
+    """
+    SELECT metric, a.ablation AS reference, b.ablation AS comparison, a.fold, a.score AS ref, b.score AS comp
+    FROM (UNPIVOT fold_scores ON f1, pr, rc INTO NAME metric VALUE score) a
+    JOIN (UNPIVOT fold_scores ON f1, pr, rc INTO NAME metric VALUE score) b USING (metric, fold)
+    WHERE (a.ablation, b.ablation) IN ("""
+    + ", ".join(f"('{a}', '{b}')" for a, b in COMPARED)
+    + ")",
+    "fold_scores",
+)
+step(
+    "tests",
+    """
+    SELECT *, CASE WHEN sd = 0 THEN CASE WHEN md = 0 THEN NULL ELSE 0 END ELSE
+             greatest(1 - 2 * (0.375 * u * (1 - u * u / 12)), 0) END AS p
+    FROM (SELECT *, abs(t) / sqrt(1 + t * t / 4) AS u FROM (
+      SELECT *, CASE WHEN sd > 0 THEN md / (sd / sqrt(n)) END AS t FROM (
+        SELECT CASE metric WHEN 'f1' THEN 'F1' WHEN 'pr' THEN 'Precision' ELSE 'Recall' END AS metric, reference, comparison,
+               count(*) AS n, avg(ref) AS mr, avg(comp) AS mc, avg(ref - comp) AS md,
+               CASE WHEN max(ref - comp) - min(ref - comp) < 1e-12 THEN 0 ELSE stddev_samp(ref - comp) END AS sd,
+               string_agg(printf('%.4f', ref - comp), ', ' ORDER BY fold) AS diffs
+        FROM compared GROUP BY metric, reference, comparison)))
+    """,
+    "compared",
+)
+step(
+    "adjusted",
+    """
+    SELECT *, CASE WHEN p IS NULL THEN NULL ELSE least(min(p * m / r) OVER (ORDER BY r DESC), 1) END AS q
+    FROM (SELECT *, count(p) OVER () AS m, row_number() OVER (ORDER BY p NULLS LAST) AS r FROM tests)
+    """,
+    "tests",
+)
+step(
+    "dated",
+    """
+    SELECT doc_id, TIMESTAMP '2024-01-01' + to_days(CAST(doc_id * 13 % 70 AS INT)) AS ta, quality AS y, lang AS sub,
+           ((doc_id * 53) % 100) / 100.0::DOUBLE AS p FROM documents JOIN labels USING (doc_id)
+    """,
+)
+step(
+    "chain_origins",
+    """
+    SELECT w, m, unnest(CASE WHEN lo + to_days(7 * m) <= hi - to_days(w) THEN
+        generate_series(lo + to_days(7 * m), hi - to_days(w), to_days(w)) ELSE [] END) AS origin
+    FROM (SELECT min(ta) AS lo, max(ta) AS hi FROM dated), (VALUES (5, 2), (7, 2), (14, 2), (21, 2), (7, 12)) AS g(w, m)
+    """,
+    "dated",
+)
+step(
+    "chain_counts",
+    """
+    SELECT w, m, origin, count_if(ta <= origin) AS n_train, sum(CASE WHEN ta <= origin THEN y ELSE 0 END) AS pos_train,
+           count_if(ta > origin AND ta <= origin + to_days(w)) AS n_test,
+           sum(CASE WHEN ta > origin AND ta <= origin + to_days(w) THEN y ELSE 0 END) AS pos_test
+    FROM chain_origins, dated GROUP BY w, m, origin
+    """,
+    "chain_origins",
+    "dated",
+)
