@@ -119,7 +119,7 @@ def fold_summary(spark, sf_dir):
 def classifier_grid(spark, sf_dir):
     matrix = inputs.document_matrix(spark, sf_dir)
     groups = X.ablations(matrix.columns)
-    return E.evaluate(matrix, [1], {k: groups[k] for k in ["all_features", "only_text"]}, SMALL, all_negative=True)
+    return E.evaluate(matrix, [1], {"all_features": groups["all_features"]}, SMALL, all_negative=True)
 
 
 @register("fold_ablation")

@@ -520,8 +520,8 @@ step(
 step(
     "chain_counts",
     """
-    SELECT w, m, origin, count_if(ta <= origin) AS n_train, sum(CASE WHEN ta <= origin THEN y ELSE 0 END) AS pos_train,
-           count_if(ta > origin AND ta <= origin + to_days(w)) AS n_test,
+    SELECT w, m, origin, CAST(count_if(ta <= origin) AS BIGINT) AS n_train, sum(CASE WHEN ta <= origin THEN y ELSE 0 END) AS pos_train,
+           CAST(count_if(ta > origin AND ta <= origin + to_days(w)) AS BIGINT) AS n_test,
            sum(CASE WHEN ta > origin AND ta <= origin + to_days(w) THEN y ELSE 0 END) AS pos_test
     FROM chain_origins, dated GROUP BY w, m, origin
     """,
