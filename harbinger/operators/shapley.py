@@ -181,7 +181,7 @@ def spearman(values: DataFrame) -> DataFrame:
         F.count("*").alias("n"),
         F.when(
             (F.min("feature_value") < F.max("feature_value")) & (F.min("shap_value") < F.max("shap_value")),
-            F.corr("rx", "rs"),
+            F.covar_pop("rx", "rs") / F.nullif(F.stddev_pop("rx") * F.stddev_pop("rs"), F.lit(0.0)),
         ).alias("corr_feature_shap_spearman"),
     )
 

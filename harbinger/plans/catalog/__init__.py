@@ -25,4 +25,15 @@ def register(name: str, check: str | None = None):
 
 
 def load() -> None:
-    from harbinger.plans.catalog import evaluation, forward, geometry, ingest, social, texts, topics, trajectory  # noqa: F401
+    from harbinger.plans.catalog import (  # noqa: F401
+        attributions,
+        evaluation,
+        features,
+        forward,
+        geometry,
+        ingest,
+        social,
+        texts,
+        topics,
+        trajectory,
+    )

@@ -120,14 +120,14 @@ def topic_matches(spark, sf_dir):
 @register(
     "topic_lineage",
     sql(
-        """, n AS (SELECT DISTINCT model, CAST(snapshot_date - DATE '2024-01-01' + 1 AS INT) AS at, cluster_id FROM snapshots
+        """, n AS (SELECT DISTINCT model, CAST(snapshot_date - DATE '2024-01-01' + 1 AS INT) AS st, cluster_id FROM snapshots
             WHERE cluster_id <> -1),
-        h AS (SELECT n.*, NOT EXISTS (SELECT 1 FROM n p WHERE p.model = n.model AND p.at = n.at - 1
-            AND p.cluster_id = n.cluster_id) OR (n.cluster_id + n.at) % 4 = 0 AS head FROM n),
-        t AS (SELECT model, at, cluster_id, row_number() OVER (PARTITION BY model ORDER BY at, cluster_id) - 1 AS topic_id
+        h AS (SELECT n.*, NOT EXISTS (SELECT 1 FROM n p WHERE p.model = n.model AND p.st = n.st - 1
+            AND p.cluster_id = n.cluster_id) OR (n.cluster_id + n.st) % 4 = 0 AS head FROM n),
+        t AS (SELECT model, st, cluster_id, row_number() OVER (PARTITION BY model ORDER BY st, cluster_id) - 1 AS topic_id
             FROM h WHERE head)
-        SELECT h.model, h.at, h.cluster_id, CAST(arg_max(t.topic_id, t.at) AS INT) AS topic_id FROM h JOIN t
-        ON t.model = h.model AND t.cluster_id = h.cluster_id AND t.at <= h.at GROUP BY h.model, h.at, h.cluster_id""",
+        SELECT h.model, h.st AS "at", h.cluster_id, CAST(arg_max(t.topic_id, t.st) AS INT) AS topic_id FROM h JOIN t
+        ON t.model = h.model AND t.cluster_id = h.cluster_id AND t.st <= h.st GROUP BY h.model, h.st, h.cluster_id""",
         "snapshots",
     ),
 )

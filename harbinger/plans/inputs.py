@@ -283,3 +283,24 @@ def dated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lang").alias("true_subclass"),
         *[c.alias(n) for n, c in cols.items()],
     )
+
+
+def attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in attributions of three features of the labelled documents."""
+    doc = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    n = F.col("doc_id")
+    items = F.array(
+        *[
+            F.struct(F.lit(name).alias("feature"), value.cast("double").alias("v"), F.lit(w).alias("w"))
+            for name, value, w in [("n_chars", F.col("n_chars"), 29), ("id_mod", n % 10, 31), ("constant", F.lit(1), 37)]
+        ]
+    )
+    rows = doc.select("doc_id", "quality", F.explode(items).alias("i"))
+    return rows.select(
+        n.cast("string").alias("article_url"),
+        "i.feature",
+        F.col("i.v").alias("feature_value"),
+        (((n * F.col("i.w") + 11) % 97 - 48) / F.lit(100.0)).alias("shap_value"),
+        F.col("quality").alias("y"),
+        (n * 53 % 100 / F.lit(100.0)).alias("pred_proba"),
+    )

@@ -528,3 +528,24 @@ step(
     "chain_origins",
     "dated",
 )
+
+
+step(
+    "attributions",
+    """
+    SELECT CAST(doc_id AS VARCHAR) AS article_url, feature, v AS feature_value, ((doc_id * w + 11) % 97 - 48) / 100.0::DOUBLE AS shap_value,
+           quality AS y, ((doc_id * 53) % 100) / 100.0::DOUBLE AS pred_proba
+    FROM (SELECT doc_id, quality, unnest(['n_chars', 'id_mod', 'constant']) AS feature,
+                 unnest([n_chars::DOUBLE, (doc_id % 10)::DOUBLE, 1.0::DOUBLE]) AS v, unnest([29, 31, 37]) AS w
+          FROM documents JOIN labels USING (doc_id))
+    """,
+)
+step(
+    "attribution_ranks",
+    """
+    SELECT *, rank() OVER (PARTITION BY feature ORDER BY feature_value) + (count(*) OVER (PARTITION BY feature, feature_value) - 1) / 2.0::DOUBLE AS rx,
+           rank() OVER (PARTITION BY feature ORDER BY shap_value) + (count(*) OVER (PARTITION BY feature, shap_value) - 1) / 2.0::DOUBLE AS rs
+    FROM attributions
+    """,
+    "attributions",
+)
