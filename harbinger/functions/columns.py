@@ -46,7 +46,9 @@ def utc_naive(c: Column | str) -> Column:
     Unparseable text becomes null.  Zoned and zoneless text are cast separately so that
     the result does not depend on the session time zone.
     """
-    text = F.trim(as_col(c).cast("string"))
+    raw = F.trim(as_col(c).cast("string"))
+    # words such as "yesterday" are no dates here, though a cast would take them
+    text = F.when(raw.rlike(r"\d"), raw)
     zoned = text.rlike(r"\d{1,2}:\d{2}.*([zZ]|UTC|GMT|[+-]\d{2}:?\d{2})$")
     shifted = F.convert_timezone(
         F.current_timezone(), F.lit("UTC"), text.try_cast("timestamp").cast("timestamp_ntz")
