@@ -71,19 +71,9 @@ def first_shares(shares: DataFrame) -> DataFrame:
     )
 
 
-def pairs_as_of(articles: DataFrame, shares: DataFrame) -> DataFrame:
-    """Per cut-off: how many distinct (author, article) pairs exist before it."""
-    steps = first_shares(shares)
-    cuts = cutoffs(articles)
-    stepped = to_steps(steps, cuts)
-    per_step = stepped.groupBy("step").agg(F.count("*").alias("n"))
-    return _running(per_step, F.sum("n"), "n_pairs").withColumnRenamed("step", "cut")
-
-
-def _running(per_step: DataFrame, agg: Column, out: str) -> DataFrame:
-    """Running aggregate over the cut-offs in use: one row per distinct cut-off."""
-    w = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    return per_step.select("step", agg.over(w).alias(out))
+def graph_start(articles: DataFrame, shares: DataFrame) -> DataFrame:
+    """One row: the earliest cut-off at which any (author, article) pair exists, or null."""
+    return to_steps(first_shares(shares), cutoffs(articles)).agg(F.min("step").alias("start"))
 
 
 def to_steps(pairs: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -108,7 +98,7 @@ def to_steps(pairs: DataFrame, cuts: DataFrame) -> DataFrame:
     nxt = filled.select("day", "times", later.alias("later"))
     lo = bounds.select("lo").scalar()
     own = pairs.withColumn("day", F.greatest(F.to_date("first"), lo))
-    joined = own.join(F.broadcast(nxt), "day")
+    joined = own.join(nxt, "day")
     same = F.try_element_at(F.filter("times", lambda t: t > F.col("first")), F.lit(1))
     return (
         joined.withColumn("step", F.coalesce(same, F.col("later")))
@@ -285,14 +275,12 @@ def bridge_ratios(ego: DataFrame, parts: DataFrame) -> DataFrame:
     )
 
 
-def community_sizes(cuts: DataFrame, parts: DataFrame, pair_counts: DataFrame) -> DataFrame:
+def community_sizes(cuts: DataFrame, parts: DataFrame, start: DataFrame) -> DataFrame:
     """Members of the article's community; 1 without edges, 0 while nobody shared anything."""
     sizes = parts.groupBy("cut", "community").agg(F.count("*").cast("double").alias("members"))
     mine = cuts.join(parts, ["cut", "article_id"], "left").join(sizes, ["cut", "community"], "left")
-    # the first cut-off at which any pair exists
-    start = pair_counts.where(F.col("n_pairs") > 0).agg(F.min("cut").alias("s")).scalar()
     value = F.coalesce(
-        "members", F.when(F.coalesce(F.col("cut") >= start, F.lit(False)), 1.0).otherwise(0.0)
+        "members", F.when(F.coalesce(F.col("cut") >= start.scalar(), F.lit(False)), 1.0).otherwise(0.0)
     )
     return mine.select("article_id", value.alias("media_community_size"))
 
@@ -320,7 +308,7 @@ def social_features(articles: DataFrame, shares: DataFrame | None, rounds: int =
         user_medians(hist),
         weighted_clustering(ego, edges, graph, heaviest(graph)),
         bridge_ratios(ego, parts),
-        community_sizes(cuts, parts, pairs_as_of(articles, shares)),
+        community_sizes(cuts, parts, graph_start(articles, shares)),
     ]
     out = reduce(lambda a, b: a.join(b, "article_id", "left"), frames, ids)
     missing = [c for c in SOCIAL_FEATURES if c not in out.columns]

@@ -230,13 +230,19 @@ def auction(costs: DataFrame, precision: float = 1e-6, max_rounds: int = 10000)
     for _ in range(max_rounds):
         free = table.select(*keys, "bidder").distinct().join(held.select(*keys, "bidder"), [*keys, "bidder"], "left_anti")
         priced = table.join(free, [*keys, "bidder"]).join(held.select(*keys, "item", "price"), [*keys, "item"], "left")
-        gain = -F.col("cost") - F.coalesce("price", F.lit(0.0))
-        best = priced.withColumn("gain", gain).groupBy(*keys, "bidder").agg(
-            F.max_by(F.struct("item", F.coalesce("price", F.lit(0.0)).alias("price")), F.struct("gain", -F.col("item"))).alias("b"),
-            F.max("gain").alias("g1"),
-            F.max_by("gain", F.struct("gain", -F.col("item")), ).alias("_g"),
-            F.sort_array(F.collect_list("gain"), asc=False)[1].alias("g2"),
-            F.first("eps").alias("eps"),
+        price = F.coalesce("price", F.lit(0.0))
+        order = Window.partitionBy(*keys, "bidder").orderBy(F.col("gain").desc(), "item")
+        top = (
+            priced.select(*keys, "bidder", "item", "eps", price.alias("price"), (-F.col("cost") - price).alias("gain"))
+            .withColumn("r", F.row_number().over(order))
+            .where(F.col("r") <= 2)
+        )
+        first, second = F.col("r") == 1, F.col("r") == 2
+        best = top.groupBy(*keys, "bidder").agg(
+            F.max(F.when(first, F.struct("item", "price"))).alias("b"),
+            F.max(F.when(first, F.col("gain"))).alias("g1"),
+            F.max(F.when(second, F.col("gain"))).alias("g2"),
+            F.max("eps").alias("eps"),
         )
         bids = best.select(
             *keys, F.col("b.item").alias("item"), "bidder",

@@ -143,7 +143,7 @@ def community_sizes(spark, sf_dir):
     cuts = S.cutoffs(articles)
     linked = S.graph_at(cuts, S.share_graph(articles, shares)).select("cut", F.col("a").alias("article_id")).distinct()
     parts = linked.withColumn("community", F.col("article_id") % 3)
-    return S.community_sizes(cuts, parts, S.pairs_as_of(articles, shares))
+    return S.community_sizes(cuts, parts, S.graph_start(articles, shares))
 
 
 @register("social_features")
