@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from harbinger.session import keep
+
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The row with the smallest ``order`` per key.
@@ -46,9 +48,10 @@ def running_counts(df: DataFrame, group: list[str], value: str) -> DataFrame:
 
     Counting first means that copies cost one row.  Groups may be large, so the running
     sum is taken in two steps: inside value buckets cut at approximate quantiles (which
-    only balance the work) and over the bucket totals.
+    only balance the work) and over the bucket totals.  The counts are read several
+    times and stay cached.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("m"))
+    counted = keep(df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("m")))
     cuts = [i / 256 for i in range(1, 256)]
     span = counted.groupBy(*group).agg(
         F.percentile_approx(value, cuts, 2000).alias("_cuts"), F.sum("m").alias("total")

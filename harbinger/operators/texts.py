@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harbinger.functions.columns import ratio
 from harbinger.functions.text import WORD, fill_template, text_measures
 
 MEASURES = [
@@ -36,27 +35,21 @@ def measures(texts: DataFrame) -> DataFrame:
     return texts.select("article_id", *[cols[n].alias(n) for n in MEASURES])
 
 
-def token_counts(texts: DataFrame, lower: bool = True) -> DataFrame:
-    """``article_id, token, n``; counted before any join, so repeats cost nothing later."""
-    text = F.lower("text") if lower else F.col("text")
-    tokens = texts.select("article_id", F.explode(F.regexp_extract_all(text, F.lit(WORD), 0)).alias("token"))
-    return tokens.groupBy("article_id", "token").agg(F.count("*").alias("n"))
+def tokens(texts: DataFrame) -> DataFrame:
+    """``article_id, token``: every word in lower case."""
+    return texts.select("article_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), 0)).alias("token"))
 
 
 def sentiment(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Subjectivity (mean over matched tokens) and neutrality from a lexicon table
     ``token, subjectivity, valence``.
 
-    Token counts meet the lexicon on the token; Spark broadcasts the lexicon when its
-    size allows and otherwise joins with both sides shuffled.  Articles with empty text
+    Tokens meet the lexicon before they are summed; Spark broadcasts the lexicon when its
+    size allows, so only partial sums are shuffled, and otherwise joins by token.  Articles with empty text
     get 0 for both; a text without any match is fully neutral.
     """
-    found = token_counts(texts).join(lexicon, "token")
-    n = F.col("n")
-    scores = found.groupBy("article_id").agg(
-        ratio(F.sum(n * F.col("subjectivity")), F.sum(n)).alias("subj"),
-        F.sum(n * F.col("valence")).alias("s"),
-    )
+    found = tokens(texts).join(lexicon, "token")
+    scores = found.groupBy("article_id").agg(F.avg("subjectivity").alias("subj"), F.sum("valence").alias("s"))
     s = F.coalesce("s", F.lit(0.0))
     empty = F.length("text") == 0
     neutral = 1 - F.abs(s / F.sqrt(s * s + COMPOUND_ALPHA))
@@ -77,12 +70,11 @@ def gazetteer_mentions(texts: DataFrame, gazetteer: DataFrame, max_words: int) -
     for shift in range(1, max_words):
         grams = F.zip_with(grams, F.slice(words, F.lit(shift + 1), F.greatest(F.size(words), F.lit(0))), lambda g, w: F.concat(g, F.lit(" "), w))
         sizes.append(grams)
-    found = None
-    for runs in sizes:
-        part = texts.select("article_id", F.explode(runs).alias("phrase")).where(F.col("phrase").isNotNull())
-        found = part if found is None else found.unionByName(part)
-    counted = found.groupBy("article_id", "phrase").agg(F.count("*").alias("n"))
-    return counted.join(gazetteer, "phrase").select("article_id", F.col("phrase").alias("ent_text"), "label", "n")
+    phrases = texts.select("article_id", F.explode(F.concat(*sizes)).alias("phrase")).where(F.col("phrase").isNotNull())
+    # the join comes before the count: with a gazetteer that Spark broadcasts, only
+    # mentions are shuffled and never the word runs
+    found = phrases.join(gazetteer, "phrase")
+    return found.groupBy("article_id", F.col("phrase").alias("ent_text"), "label").agg(F.count("*").alias("n"))
 
 
 def entity_counts(articles: DataFrame, mentions: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harbinger.sources.tables import spread
+
 MODELS = [0, 1, 2, 3]
 WIDTH = 16
 EPOCH = "2024-01-01"
@@ -22,7 +24,7 @@ def _days(n) -> F.Column:
 
 
 def articles(spark: SparkSession, sf_dir: str, time_of_day: bool = False) -> DataFrame:
-    doc = table(spark, sf_dir, "documents")
+    doc = spread(table(spark, sf_dir, "documents"))
     pub = F.lit(EPOCH).cast("timestamp_ntz") + _days(F.col("doc_id") % 30)
     if time_of_day:
         pub = pub + F.make_dt_interval(hours=(F.col("doc_id") % 5 * 3).cast("int"))
@@ -124,7 +126,7 @@ def raw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def news_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Collected items as JSON text in the three publisher spellings, with page bodies."""
-    pages = table(spark, sf_dir, "pages")
+    pages = spread(table(spark, sf_dir, "pages"))
     n = F.col("page_id")
     title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
     at = F.lit("2025-04-02T07:00:00").cast("timestamp_ntz") + _days(n % 54)

@@ -41,6 +41,16 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str | None =
     return reader.load(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table that lies in fewer splits than there are cores, dealt out to all cores.
+
+    For work that is heavy per row.  A table with enough splits is left alone, so large
+    inputs are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_optional_table(spark: SparkSession, path: str | None, schema: StructType | str | None = None):
     """The table, or None where no path is configured or nothing lies there."""
     if path is None or str(path).lower() in {"", "none", "null"}:
