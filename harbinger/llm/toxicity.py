@@ -61,7 +61,7 @@ def informative_words(labelled: DataFrame, text: str, label: str, size: int) ->
 
 
 def fit(bags: list[list[list[int]]], labels: np.ndarray, words: list[str], rounds: int = 600,
-        ridge: float = 1e-5, rate: float = 0.15) -> Model:
+        ridge: float = 3e-5, rate: float = 0.15) -> Model:
     """Maximum likelihood of the noisy-or by Adam, both labels weighing the same.  The bias starts
     low, as few sentences offend.  Equal sentences of a document are held once with their number."""
     held = [Counter(map(tuple, sentences)) for sentences in bags]
