@@ -158,19 +158,19 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", pieces: i
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h")
     )
-    totals = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    totals = {r.lang: r["count"] for r in rows.groupBy("lang").count().toLocalIterator()}
+    if not totals:
+        return {}
+    share = F.create_map(*[F.lit(x) for name, n in sorted(totals.items()) for x in (name, 2.0 * pieces / n)])
     place = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - piece + 1, F.lit(1)).cast("long"))
     sample = (
-        rows.join(totals, "lang")
-        .where(F.pmod("h", F.lit(1_000_000)) < 2_000_000.0 * pieces / F.col("n") + 1)
+        rows.where(F.pmod("h", F.lit(1_000_000)) < 1_000_000 * share[F.col("lang")] + 1)
         .select("lang", "h", F.substring(F.col("text"), place.cast("int") + 1, F.lit(piece)).alias("text"))
         .dropDuplicates(["lang", "h"])
     )
     taken: dict[str, list[tuple[int, str]]] = {}
     for row in sample.toLocalIterator():
         taken.setdefault(row.lang, []).append((row.h % 1_000_000, row.text))
-    if not taken:
-        return {}
     most = table_mb * 1_000_000 // (len(taken) * alphabet * 4 * 2)
     models = {}
     for name in sorted(taken):
