@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harbinger.llm import compression, language, pseudonyms, toxicity
+from harbinger.llm import checks, compression, language, licenses, mixing, pseudonyms, toxicity
 from harbinger.llm.common import documents, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,13 @@ def query(name: str, check: str | None = None):
     return add
 
 
+@query("op3_license_rules", checks.license_check())
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"),
+                        F.array_join(F.array_sort("licenses"), ",").alias("licenses"), "n_unknown")
+
+
 @query("op6_toxicity")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
@@ -46,6 +53,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+@query("op8_low_discrepancy_mix", checks.MIX_CHECK)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).drop("source")
+
+
 @query("op9_pseudonyms")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
