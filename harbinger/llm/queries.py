@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harbinger.llm import checks, compression, language, licenses, mixing, pseudonyms, toxicity
+from harbinger.llm import checks, compression, language, licenses, mixing, pseudonyms, suffix_lm, toxicity
 from harbinger.llm.common import documents, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,16 @@ def query(name: str, check: str | None = None):
     return add
 
 
+@query("op2_suffix_tree_lm")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held_out = fold("doc_id", 7, 2)
+    tree, tail = suffix_lm.learn(docs.where(~held_out))
+    scored = suffix_lm.score(docs, tree, tail)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known",
+                         F.lit(tree.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 @query("op3_license_rules", checks.license_check())
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(documents(spark, sf_dir).select("doc_id", "text"))
