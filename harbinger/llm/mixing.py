@@ -129,11 +129,11 @@ def laid_out(sized: DataFrame, plan: DataFrame, digits: int = 5) -> DataFrame:
 
     The order is by a hash of id and size, so that it mixes the source and never changes.
     Words are summed inside ranges of the hash and over the ranges before; there are
-    about as many ranges as batches of 20,000 rows, whatever one source holds of them.
+    about as many ranges as batches of 4,000 rows, whatever one source holds of them.
     """
     order = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string")))
     hashed = sized.withColumn("order", order)
-    ranges = min(16**digits, max(1, -(-hashed.count() // 20_000)))
+    ranges = min(16**digits, max(1, -(-hashed.count() // 4_000)))
     head = F.conv(F.substring("order", 1, digits), 16, 10).cast("long")
     hashed = hashed.withColumn("part", F.floor(head * ranges / 16**digits))
     known = hashed.join(plan, hashed["source"].eqNullSafe(plan["source"])).drop(plan["source"])
