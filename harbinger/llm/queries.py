@@ -54,7 +54,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     held_out = fold("doc_id", 3, 1)
-    model = toxicity.learn(docs.where(~held_out).join(labels, "doc_id"))
+    model = toxicity.learn(docs.where(~held_out), labels.where(~held_out))
     scored = toxicity.score(docs.select("doc_id", "text"), model)
     predicted = (F.col("score") >= 0.7).cast("int")
     return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"),

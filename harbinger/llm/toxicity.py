@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harbinger.llm.common import with_fields
+from harbinger.session import cut_lineage
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -42,10 +43,7 @@ def sentence_bags(text: str | None, vocabulary: dict[str, int]) -> list[list[int
 
 
 def informative_words(labelled: DataFrame, text: str, label: str, size: int) -> list[str]:
-    """The ``size`` words whose document frequency differs most between the labels (chi-square).
-
-    Counts cover all labelled rows; the words are the features of the fit.
-    """
+    """The ``size`` words whose document frequency differs most between the labels (chi-square)."""
     rows = labelled.select(
         (F.col(label) == 1).cast("int").alias("y"),
         F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), WORD_JVM))).alias("w"),
@@ -88,33 +86,35 @@ def fit(bags: list[list[list[int]]], labels: np.ndarray, words: list[str], round
     return Model(float(theta[-1]), {w: float(x) for w, x in zip(words, theta, strict=False)})
 
 
-def learn(labelled: DataFrame, text: str = "text", label: str = "toxic", words: int = 2000,
-          sample: int = 6000) -> Model:
-    """Sentence weights from labelled rows (label 0 or 1; others teach nothing).
+def learn(texts: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
+          words: int = 2000, sample: int = 20_000) -> Model:
+    """Sentence weights from labelled texts; ``labels`` has ``key`` and a ``label`` of 0 or 1.
 
-    Word statistics cover all of them; the fit takes a sample of about ``sample`` rows, half
-    of each label where there are enough, chosen by a hash of the text.  With one label
-    only, or none, the model says 0 for everything.
+    At most about ``sample`` labelled rows are used, half of each label where there are
+    enough, chosen by a hash of their keys.  Only their keys are sent out, so the texts of
+    the corpus are not shuffled.  Other labels and null keys teach nothing.  With one
+    label only, or none, the model says 0 for everything.
     """
-    rows = labelled.where(F.col(label).isin(0, 1))
-    n = {r[0]: r["count"] for r in rows.groupBy(label).count().collect()}
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(key, F.col(label).alias("_y"))
+    n = {r._y: r["count"] for r in known.groupBy("_y").count().collect()}
     if not n.get(0) or not n.get(1):
         return Model(-30.0, {})
-    chosen = informative_words(rows, text, label, words)
-    share = F.when(F.col(label) == 1, min(1.0, sample / 2 / n[1])).otherwise(min(1.0, sample / 2 / n[0]))
-    h = F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(1_000_000)) / 1e6
+    share = F.when(F.col("_y") == 1, sample / 2 / n[1]).otherwise(sample / 2 / n[0])
+    h = F.pmod(F.xxhash64(key), F.lit(1_000_000)) / 1e6
+    picked = known.where(h < share).orderBy(h, key).limit(2 * sample)
+    rows = cut_lineage(texts.join(F.broadcast(picked), key).select(F.col(text).alias("text"), "_y"))
+    chosen = informative_words(rows, "text", "_y", words)
     vocabulary = {w: i for i, w in enumerate(chosen)}
 
     @F.pandas_udf("array<array<int>>")
     def bagged(column: pd.Series) -> pd.Series:
         return pd.Series([sentence_bags(v, vocabulary) for v in column])
 
-    kept = rows.where(h < share).select(F.col(label).alias("y"), bagged(F.col(text)).alias("bags"))
-    bags, labels = [], []
-    for r in kept.orderBy(F.xxhash64("bags"), "y").limit(2 * sample).toLocalIterator():
+    bags, found = [], []
+    for r in rows.select("_y", bagged("text").alias("bags")).toLocalIterator():
         bags.append(r.bags)
-        labels.append(r.y)
-    return fit(bags, np.array(labels), chosen)
+        found.append(r._y)
+    return fit(bags, np.array(found), chosen)
 
 
 def sentence_scores(text: str | None, model: Model) -> list[tuple[int, int, float]]:
