@@ -76,3 +76,35 @@ SELECT doc_id, size::BIGINT AS size, source_size, target::DOUBLE AS target,
        CASE WHEN source_size = 0 THEN 0 ELSE (round(target)::BIGINT // source_size) * size
          + greatest(least(start + size, round(target)::BIGINT % source_size) - start, 0) END::BIGINT AS taken
 FROM laid l JOIN plan p ON l.source IS NOT DISTINCT FROM p.source"""
+
+
+DECONTAMINATION_CHECK = r"""
+WITH docs AS (
+  SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}]+', ' ', 'g')), ' ') AS w
+  FROM documents WHERE trim(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}]+', ' ', 'g')) <> ''),
+items AS (
+  SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}]+', ' ', 'g')), ' ') AS w
+  FROM benchmark WHERE trim(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}]+', ' ', 'g')) <> ''),
+ds AS (
+  SELECT doc_id, w, unnest(range(greatest(len(w) - 4, 1))) AS p FROM docs),
+dh AS (SELECT doc_id, p, array_to_string(w[p + 1 : p + 5], ' ') AS s FROM ds),
+its AS (
+  SELECT item_id, w, unnest(range(greatest(len(w) - 4, 1))) AS q FROM items),
+ih AS (SELECT item_id, len(w) AS n, q, array_to_string(w[q + 1 : q + 5], ' ') AS s FROM its),
+starts AS (
+  SELECT DISTINCT doc_id, item_id, n, p - q AS d FROM dh JOIN ih USING (s)),
+windows AS (
+  SELECT DISTINCT doc_id, item_id, n, greatest(least(d, len(w) - n), 0) AS a, w FROM starts JOIN docs USING (doc_id)),
+shingled AS (
+  SELECT doc_id, item_id, a,
+         list_distinct(list_transform(range(greatest(len(w[a + 1 : a + n]) - 4, 1)), lambda i: array_to_string(w[a + 1 : a + n][i + 1 : i + 5], ' '))) AS x
+  FROM windows),
+wanted AS (SELECT item_id, list_distinct(list(s)) AS y FROM ih GROUP BY item_id),
+weighed AS (
+  SELECT doc_id, item_id,
+    list_sum(list_transform(list_intersect(x, y), lambda s: length(replace(s, ' ', ''))))::DOUBLE AS shared,
+    list_sum(list_transform(x, lambda s: length(replace(s, ' ', ''))))::DOUBLE AS a,
+    list_sum(list_transform(y, lambda s: length(replace(s, ' ', ''))))::DOUBLE AS b
+  FROM shingled JOIN wanted USING (item_id))
+SELECT doc_id, item_id, round(max(shared / (a + b - shared)), 6) AS similarity
+FROM weighed WHERE shared / (a + b - shared) >= 0.8 GROUP BY doc_id, item_id"""

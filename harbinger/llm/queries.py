@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harbinger.llm import checks, compression, extraction, language, licenses, mixing, pseudonyms, suffix_lm, toxicity
+from harbinger.llm import checks, compression, decontaminate, extraction, language, licenses, mixing, pseudonyms, suffix_lm, toxicity
 from harbinger.llm.common import documents, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.array_join(F.array_sort("licenses"), ",").alias("licenses"), "n_unknown")
 
 
+@query("op4_benchmark_windows", checks.DECONTAMINATION_CHECK)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.find(documents(spark, sf_dir), items)
+    return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"))
+
+
 @query("op5_extraction")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
