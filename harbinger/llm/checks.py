@@ -108,3 +108,20 @@ weighed AS (
   FROM shingled JOIN wanted USING (item_id))
 SELECT doc_id, item_id, round(max(shared / (a + b - shared)), 6) AS similarity
 FROM weighed WHERE shared / (a + b - shared) >= 0.8 GROUP BY doc_id, item_id"""
+
+
+NEAR_CHECK = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+spread AS (SELECT doc_id, w, unnest(range(greatest(len(w) - 4, 1))) AS p FROM words WHERE len(w) > 0),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[p + 1 : p + 5], ' ') AS s FROM spread),
+sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT a, min(b) AS m FROM reach GROUP BY a),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT doc_id, least(doc_id, coalesce(m, doc_id)) AS class_id, coalesce(n, 0) AS n_links
+FROM documents LEFT JOIN least ON least.a = doc_id LEFT JOIN counted ON counted.a = doc_id"""

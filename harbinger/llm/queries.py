@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harbinger.llm import checks, compression, decontaminate, extraction, language, licenses, mixing, pseudonyms, suffix_lm, toxicity
+from harbinger.llm import (
+    checks,
+    compression,
+    decontaminate,
+    extraction,
+    forest_join,
+    language,
+    licenses,
+    mixing,
+    pseudonyms,
+    suffix_lm,
+    toxicity,
+)
 from harbinger.llm.common import documents, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +37,11 @@ def query(name: str, check: str | None = None):
     return add
 
 
+@query("op1_forest_join", checks.NEAR_CHECK)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest_join.join(documents(spark, sf_dir))
+
+
 @query("op2_suffix_tree_lm")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
