@@ -30,12 +30,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest id.
 
-    Of repeated rows of that id one stays.  Rows without an id have no group to speak of
-    and stay.
+    Of its repeated rows one stays.  Rows without an id have no group to speak of and stay.
     """
     classes = forest_join.join(docs)
     first = classes.where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id").dropDuplicates(["doc_id"])
+    kept = docs.withColumn("_h", F.xxhash64("text")).join(first, "doc_id").dropDuplicates(["doc_id", "_h"])
     return kept.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
