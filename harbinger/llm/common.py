@@ -10,6 +10,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Let at most ``rows`` texts go to Python at a time.  Spark's own limit is meant for short rows;
+    with whole documents the batches of all tasks would fill an executor."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def fold(key: str, folds: int, kept: int) -> Column:
     """True where crc32 of the key as text leaves ``kept`` (a null key counts as empty text)."""
     text = F.coalesce(F.col(key).cast("string"), F.lit(""))

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harbinger.llm.common import with_fields
+from harbinger.llm.common import small_batches, with_fields
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -109,6 +109,7 @@ def judge(texts: DataFrame, text: str = "text", bands: Bands = Bands(), min_word
     alike.  An input column of an output's name gives way to it.  One row at a time is in
     memory beside its Arrow batch, and no data is shuffled.
     """
+    small_batches(texts.sparkSession)
 
     @F.pandas_udf(FIELDS)
     def measured(column: pd.Series) -> pd.DataFrame:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harbinger.llm.common import with_fields
+from harbinger.llm.common import small_batches, with_fields
 
 # Kinds of elements in HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -236,6 +236,7 @@ def extract(pages: DataFrame, weights: Weights, page: str = "html") -> DataFrame
     Null and empty pages have no text.  Pages are read whole.  Repeated rows come out
     alike; an input column of an output's name gives way to it.
     """
+    small_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(weights)
 
     @F.pandas_udf("text string, n_chars long")

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from harbinger.llm.common import small_batches
 from harbinger.llm.graph import components
 from harbinger.session import cut_lineage
 
@@ -288,6 +289,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     rows are copies of each other.  A null key takes the class of its links, null if all
     of them are; extra columns are not looked at; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     depth = stop_depth(percent / 100, target)
     gate = percent / 100 - 4.5 * (percent / 100 * (1 - percent / 100) / (TREES * DEPTH)) ** 0.5
     rows = cut_lineage(

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harbinger.llm.common import with_fields
+from harbinger.llm.common import small_batches, with_fields
 
 UNKNOWN = "und"
 PLANE = 0x10000
@@ -188,6 +188,7 @@ def identify(texts: DataFrame, models: dict[str, Automaton], text: str = "text")
     everything when nothing was learned.  Whole texts are parsed; repeated rows come out
     alike; an input column of an output's name gives way to it.
     """
+    small_batches(texts.sparkSession)
     names = sorted(models)
     shared = texts.sparkSession.sparkContext.broadcast([models[n] for n in names])
 

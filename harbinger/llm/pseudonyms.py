@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harbinger.llm.common import with_fields
+from harbinger.llm.common import small_batches, with_fields
 
 
 class Feistel:
@@ -265,6 +265,7 @@ def pseudonymise(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     output gives way.  No shuffle; a text without digit, ``@`` or secret's name is passed
     through.
     """
+    small_batches(texts.sparkSession)
     secret_key = key.encode()
 
     @F.pandas_udf(f"`{text}` string, n_replaced long, kinds array<string>")

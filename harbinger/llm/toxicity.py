@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harbinger.llm.common import with_fields
+from harbinger.llm.common import small_batches, with_fields
 from harbinger.session import cut_lineage
 
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -136,6 +136,7 @@ def score(texts: DataFrame, model: Model, text: str = "text", offending: float =
     A text without a word (null, empty, signs only) scores 0 and has none.  Repeated rows
     come out alike; an input column of an output's name gives way to it.
     """
+    small_batches(texts.sparkSession)
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("score double, offending array<struct<start: int, end: int, score: double>>")
