@@ -27,6 +27,8 @@ TLD_COUNTRY = {
 
 
 def _decoded(piece: Column) -> Column:
+    """Form decoding; a percent sign that starts no escape stands for itself."""
+    piece = F.regexp_replace(piece, "%(?![0-9A-Fa-f]{2})", "%25")
     return F.coalesce(F.try_url_decode(piece), F.replace(piece, F.lit("+"), F.lit(" ")))
 
 

@@ -34,7 +34,7 @@ class Settings:
 
     rounds: int = 300
     trees: int = 600
-    iterations: int = 2000
+    iterations: int = 5000
     seed: int = 42
     cv_folds: int = 5
     classifiers: list[str] = field(default_factory=lambda: list(MODEL_ORDER))

@@ -240,10 +240,11 @@ def graph_at(cuts: DataFrame, edges: DataFrame) -> DataFrame:
     return weighted.unionByName(other)
 
 
-def communities(graph: DataFrame, rounds: int = 5) -> DataFrame:
+def communities(graph: DataFrame) -> DataFrame:
     """Community of every linked article at every cut-off: cut, article_id, community.
 
-    Synchronous weighted label propagation with a fixed number of rounds: an article
+    Synchronous weighted label propagation until no label changes, or until a round adds no
+    weight between articles of one label: an article
     takes the label with the largest weight among its neighbours, its own label counting
     with the weight of its heaviest edge; ties go to the smallest label.  It stands in
     for modularity optimisation and gives comparable, not equal, communities.
@@ -253,11 +254,18 @@ def communities(graph: DataFrame, rounds: int = 5) -> DataFrame:
     loops = own.select("cut", "a", F.col("a").alias("b"), "weight")
     votes = cut_lineage(graph.select("cut", "a", "b", "weight").unionByName(loops))
     labels = own.select("cut", F.col("a").alias("b"), F.col("a").alias("label"))
-    for _ in range(rounds):
+    agreed = 0.0
+    while True:
         tally = votes.join(labels, ["cut", "b"]).groupBy("cut", "a", "label").agg(F.sum("weight").alias("weight"))
-        labels = tally.groupBy("cut", F.col("a").alias("b")).agg(
+        new = cut_lineage(tally.groupBy("cut", F.col("a").alias("b")).agg(
             F.max_by("label", F.struct("weight", -F.col("label"))).alias("label")
-        )
+        ))
+        ends = new.select("cut", F.col("b").alias("a"), F.col("label").alias("own"))
+        inside = votes.where("a <> b").join(new, ["cut", "b"]).join(ends, ["cut", "a"]).where(F.col("own") == F.col("label"))
+        total = inside.agg(F.coalesce(F.sum("weight"), F.lit(0)).cast("double").alias("w")).first().w
+        if total <= agreed:  # settled, or swinging: the labels before are as good
+            break
+        labels, agreed = new, total
     labels = labels.withColumnRenamed("b", "a")
     return labels.select("cut", F.col("a").alias("article_id"), F.col("label").alias("community"))
 
@@ -291,7 +299,7 @@ def share_graph(articles: DataFrame, shares: DataFrame, block: int = USER_BLOCK)
     return cut_lineage(projection(to_steps(first_shares(shares), cutoffs(articles)), block))
 
 
-def social_features(articles: DataFrame, shares: DataFrame | None, rounds: int = 5) -> DataFrame:
+def social_features(articles: DataFrame, shares: DataFrame | None) -> DataFrame:
     """All share features for every article; 0 without shares or without a date."""
     ids = articles.select("article_id").distinct()
     if shares is None or "author_id" not in shares.columns:
@@ -302,7 +310,7 @@ def social_features(articles: DataFrame, shares: DataFrame | None, rounds: int =
     ego = cut_lineage(ego_edges(cuts, edges))
     # the graph is needed at the cut-offs of articles that have edges there
     graph = cut_lineage(graph_at(ego.select("cut").distinct(), edges))
-    parts = cut_lineage(communities(graph, rounds))
+    parts = cut_lineage(communities(graph))
     frames = [
         unique_users(hist),
         user_medians(hist),

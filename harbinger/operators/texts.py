@@ -60,9 +60,13 @@ def sentiment(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     )
 
 
-def gazetteer_mentions(texts: DataFrame, gazetteer: DataFrame, max_words: int) -> DataFrame:
-    """Mentions ``article_id, ent_text, label, n``: every run of up to ``max_words`` words
-    that is a phrase of the gazetteer (``phrase, label``; words joined by one blank)."""
+def gazetteer_mentions(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """Mentions ``article_id, ent_text, label, n``: every run of words that is a phrase of
+    the gazetteer (``phrase, label``; words joined by one blank).
+
+    The longest phrase says how long runs get; one aggregate of the gazetteer finds it.
+    """
+    max_words = gazetteer.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1
     words = F.regexp_extract_all("text", F.lit(WORD), 0)
     # runs of n + 1 words = runs of n words beside the words shifted by n; the shorter
     # side is padded with null, so runs that would pass the end become null

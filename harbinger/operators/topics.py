@@ -15,6 +15,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from harbinger.functions.keyed import running_counts
 from harbinger.functions.vectors import cosine_distance, dot, mean_by_dimension
 from harbinger.operators.neighbours import BLOCK, nearest
 from harbinger.session import cut_lineage, keep
@@ -62,7 +63,7 @@ def reduce_dimensions(vectors: DataFrame, dims: int = 20) -> DataFrame:
     return out
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, keys: list[str], max_rounds: int = 60) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     """Smallest member of each node's component, for many graphs at once.
 
     ``nodes``: keys + node; ``edges``: keys + a, b.  Each round takes the smallest label
@@ -75,7 +76,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, keys: list[str], ma
         .where(F.col("a") != F.col("b")).distinct()
     )
     labels = nodes.select(*keys, "node", F.col("node").alias("label"))
-    for _ in range(max_rounds):
+    while True:
         said = labels.select(*keys, F.col("node").alias("b"), "label")
         heard = both.join(said, [*keys, "b"]).groupBy(*keys, F.col("a").alias("node")).agg(F.min("label").alias("heard"))
         lower = labels.join(heard, [*keys, "node"], "left").select(
@@ -90,7 +91,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame, keys: list[str], ma
         labels = jumped.drop("old")
         if not changed:
             return labels
-    raise RuntimeError("components did not settle; raise max_rounds")
 
 
 def density_clusters(snapshots: DataFrame, min_cluster_size: int = 5, min_samples: int = 5,
@@ -100,8 +100,8 @@ def density_clusters(snapshots: DataFrame, min_cluster_size: int = 5, min_sample
     A flat density cut: core distance = distance to the ``min_samples``-th neighbour (the
     article itself included); neighbours whose mutual reachability is at most epsilon
     are linked; components of at least ``min_cluster_size`` articles are clusters, numbered by
-    their smallest member.  Epsilon is given or the quantile of the core distances of
-    the snapshot.  It stands in for the hierarchical method and does not reproduce its
+    their smallest member.  Epsilon is given or the exact quantile of the core distances
+    of the snapshot.  It stands in for the hierarchical method and does not reproduce its
     labels.  Links follow the neighbour lists, so there are at most ``min_samples`` per
     article; copies are one node.
 
@@ -125,7 +125,8 @@ def density_clusters(snapshots: DataFrame, min_cluster_size: int = 5, min_sample
         F.when(F.sum("take") >= min_samples, F.max("distance")).alias("core")
     )
     if epsilon is None:
-        cut = core.groupBy(*keys).agg(F.percentile_approx("core", quantile, 10000).alias("eps"))
+        ranked = running_counts(core, keys, "core").where(F.col("cum") >= F.ceil(F.col("total") * quantile))
+        cut = ranked.groupBy(*keys).agg(F.min("core").alias("eps"))
     else:
         cut = core.select(*keys).distinct().withColumn("eps", F.lit(float(epsilon)))
     core = cut_lineage(core.join(F.broadcast(cut), keys))

@@ -16,7 +16,7 @@ def article_texts(spark, sf_dir):
 
 
 def mentions(spark, sf_dir):
-    return texts.gazetteer_mentions(article_texts(spark, sf_dir), inputs.gazetteer(spark), 3)
+    return texts.gazetteer_mentions(article_texts(spark, sf_dir), inputs.gazetteer(spark))
 
 
 def rounded(df, names):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,7 +25,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session may go without the setting; it gets a temporary folder.
+    A session without the setting gets a folder in the warehouse, which all executors
+    share as well.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -35,9 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
     active = spark.sparkContext.getCheckpointDir()
     if active:
         return active
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="harbinger-")
+    folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 

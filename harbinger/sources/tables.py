@@ -64,15 +64,11 @@ def read_optional_table(spark: SparkSession, path: str | None, schema: StructTyp
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Parquet, one directory per table, partitioned by the given columns.
 
-    Rows are first spread by the partition columns and a salt, so that each directory
-    gets some large files, and a directory that holds a third of the rows still has
-    many writers.
+    Rows are first rebalanced by the partition columns: small directories share a
+    writer, and one that holds a third of the rows has as many as its size asks for.
     """
     cols = partition_by or []
-    out = df
-    if cols:
-        salt = F.pmod(F.monotonically_increasing_id(), F.lit(16))
-        out = df.withColumn("_salt", salt).repartition(*cols, "_salt").drop("_salt")
+    out = df.hint("rebalance", *cols) if cols else df
     out.write.mode("overwrite").partitionBy(*cols).parquet(path)
 
 
@@ -94,13 +90,14 @@ def read_model_results(spark: SparkSession, root: str, schema: StructType | str
     The model name comes from partition discovery, so a filter on ``model`` prunes
     directories.  No model at all is an error.
     """
+    pattern = f"{root.rstrip('/')}/model=*"
+    glob = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    if not glob.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(glob):
+        raise FileNotFoundError(f"no model results below {root}")
     reader = spark.read.option("basePath", root)
     if schema is not None:
         reader = reader.schema(schema)
-    try:
-        out = reader.parquet(f"{root.rstrip('/')}/model=*")
-    except Exception as exc:
-        raise FileNotFoundError(f"no model results below {root}") from exc
+    out = reader.parquet(pattern)
     return out.withColumn("model", F.col("model").cast("string"))
 
 
