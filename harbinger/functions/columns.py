@@ -40,10 +40,33 @@ def topic_number(c: Column | str) -> Column:
     return F.coalesce(as_col(c).cast("string").try_cast("double").try_cast("int"), F.lit(-1))
 
 
+# shape of a date text without its weekday, and how to read it; the first two carry a zone
+SPELLINGS = [
+    (r"^\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2} (GMT|UTC)$", "d MMM yyyy HH:mm:ss z"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2} [+-]\d{4}$", "d MMM yyyy HH:mm:ss xx"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
+    (r"^\d{1,2} [A-Za-z]{4,} \d{4}$", "d MMMM yyyy"),
+    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
+    (r"^[A-Za-z]{4,} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
+    (r"^\d{8}$", "yyyyMMdd"),
+]
+
+
+def spelled_date(text: Column) -> Column:
+    """Mail, month-name and compact dates to TIMESTAMP_NTZ in UTC; others are null."""
+    plain = F.regexp_replace(text, r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", "")
+    out = F.lit(None).cast("timestamp_ntz")
+    for i, (shape, pattern) in enumerate(SPELLINGS):
+        at = F.try_to_timestamp(F.when(plain.rlike(shape), plain), F.lit(pattern)).cast("timestamp_ntz")
+        out = F.coalesce(out, F.convert_timezone(F.current_timezone(), F.lit("UTC"), at) if i < 2 else at)
+    return out
+
+
 def utc_naive(c: Column | str) -> Column:
     """Timestamp text to TIMESTAMP_NTZ in UTC; text without a zone is taken as UTC.
 
-    Unparseable text becomes null.  Zoned and zoneless text are cast separately so that
+    ISO stamps, mail dates, month names (``April 2, 2025``) and compact days
+    (``20250402``) are read; unparseable text becomes null.  Zoned and zoneless text are cast separately so that
     the result does not depend on the session time zone.
     """
     raw = F.trim(as_col(c).cast("string"))
@@ -53,7 +76,7 @@ def utc_naive(c: Column | str) -> Column:
     shifted = F.convert_timezone(
         F.current_timezone(), F.lit("UTC"), text.try_cast("timestamp").cast("timestamp_ntz")
     )
-    return F.when(zoned, shifted).otherwise(text.try_cast("timestamp_ntz"))
+    return F.coalesce(F.when(zoned, shifted).otherwise(text.try_cast("timestamp_ntz")), spelled_date(raw))
 
 
 def midnight(c: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from harbinger.functions.columns import as_col, ratio, strip, text_or_empty
+from harbinger.functions.columns import as_col, ratio, strip, text_or_empty, utc_naive
 
 # Characters a spreadsheet cannot hold, and the vowels of French words.
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
@@ -46,18 +46,7 @@ def lead_paragraph(c: Column | str) -> Column:
 def published_day(c: Column | str) -> Column:
     """ISO day where the text is a date, else the text itself; empty stays empty."""
     text = strip(text_or_empty(c))
-    plain = F.regexp_replace(text, r"^[A-Za-z]{3},\s*", "")
-    # words such as "yesterday" are no dates here, though a cast would take them
-    dated = F.when(text.rlike(r"\d"), text)
-    iso = dated.try_cast("timestamp")
-    mail = F.try_to_timestamp(plain, F.lit("d MMM yyyy HH:mm:ss z"))
-    parsed = F.convert_timezone(
-        F.current_timezone(), F.lit("UTC"), F.coalesce(iso, mail).cast("timestamp_ntz")
-    )
-    zoneless = dated.try_cast("timestamp_ntz")
-    zoned = text.rlike(r"\d{1,2}:\d{2}.*([zZ]|UTC|GMT|[+-]\d{2}:?\d{2})$")
-    day = F.when(zoned | zoneless.isNull(), parsed).otherwise(zoneless)
-    return F.coalesce(F.date_format(day, "yyyy-MM-dd"), text)
+    return F.coalesce(F.date_format(utc_naive(text), "yyyy-MM-dd"), text)
 
 
 def fill_template(template: str, columns: dict[str, str]) -> Column:

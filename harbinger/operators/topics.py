@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from harbinger.functions.keyed import running_counts
 from harbinger.functions.vectors import cosine_distance, dot, mean_by_dimension
-from harbinger.operators.neighbours import BLOCK, nearest
+from harbinger.operators.neighbours import BLOCK, links_within, nearest
 from harbinger.session import cut_lineage, keep
 
 ALIGNMENT_THRESHOLD = 0.30
@@ -98,12 +98,12 @@ def density_clusters(snapshots: DataFrame, min_cluster_size: int = 5, min_sample
     """``cluster_id`` (-1 = noise) and ``outlier_score`` of every article in every snapshot.
 
     A flat density cut: core distance = distance to the ``min_samples``-th neighbour (the
-    article itself included); neighbours whose mutual reachability is at most epsilon
+    article itself included); articles whose mutual reachability is at most epsilon
     are linked; components of at least ``min_cluster_size`` articles are clusters, numbered by
     their smallest member.  Epsilon is given or the exact quantile of the core distances
     of the snapshot.  It stands in for the hierarchical method and does not reproduce its
-    labels.  Links follow the neighbour lists, so there are at most ``min_samples`` per
-    article; copies are one node.
+    labels.  Neighbour lists serve core distances only; links are the spanning forests of
+    ``links_within``.  Copies are one node.
 
     ``snapshots``: model, at, article_id, first_at, coords.
     """
@@ -130,11 +130,9 @@ def density_clusters(snapshots: DataFrame, min_cluster_size: int = 5, min_sample
     else:
         cut = core.select(*keys).distinct().withColumn("eps", F.lit(float(epsilon)))
     core = cut_lineage(core.join(F.broadcast(cut), keys))
-    a = core.select(*keys, F.col("node").alias("a"), F.col("core").alias("ca"), "eps")
-    b = core.select(*keys, F.col("node").alias("b"), F.col("core").alias("cb"))
-    links = found.select(*keys, F.col("article_id").alias("a"), F.col("neighbour").alias("b"), "distance")
-    close = links.join(a, [*keys, "a"]).join(b, [*keys, "b"]).where(F.greatest("ca", "cb", "distance") <= F.col("eps"))
     members = core.where(F.col("core") <= F.col("eps"))
+    placed = members.join(heads.select("model", "node", "coords"), ["model", "node"])
+    close = links_within(placed.select(*keys, "node", "coords", "eps"), block)
     comps = connected_components(members.select(*keys, "node"), close, keys)
     copies = snapshots.join(heads.select("model", "coords", "node"), ["model", "coords"]).select(*keys, "article_id", "node")
     tagged = copies.join(comps, [*keys, "node"], "left").join(core, [*keys, "node"])

@@ -57,6 +57,37 @@ def density_clusters(spark, sf_dir):
     return out.select("model", "at", "article_id", "cluster_id", r6("outlier_score").alias("outlier_score"))
 
 
+RADIUS = 0.02  # of the projection below
+
+
+# clusters of the whole table as one snapshot, from all pairs
+@register(
+    "density_partition",
+    sql(
+        f""", p AS (SELECT model, article_id, coords[1] AS x, coords[2] AS y FROM vectors),
+        d AS (SELECT a.model, a.article_id AS a, b.article_id AS b, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist
+            FROM p a JOIN p b ON a.model = b.model),
+        m AS (SELECT model, a FROM (SELECT model, a, dist, row_number() OVER (PARTITION BY model, a ORDER BY dist) AS k FROM d)
+            WHERE k = 5 AND dist <= {RADIUS}),
+        e AS (SELECT d.model, d.a, d.b FROM d JOIN m u ON u.model = d.model AND u.a = d.a
+            JOIN m v ON v.model = d.model AND v.a = d.b WHERE d.dist <= {RADIUS}),
+        r AS (SELECT model, a AS node, a AS root FROM m
+            UNION SELECT r.model, e.b, r.root FROM r JOIN e ON e.model = r.model AND e.a = r.node),
+        c AS (SELECT model, node, min(root) AS label FROM r GROUP BY model, node),
+        s AS (SELECT model, label, row_number() OVER (PARTITION BY model ORDER BY label) - 1 AS cluster_id
+            FROM c GROUP BY model, label HAVING count(*) >= 5)
+        SELECT p.model, p.article_id, CAST(coalesce(s.cluster_id, -1) AS INT) AS cluster_id FROM p
+        LEFT JOIN c ON c.model = p.model AND c.node = p.article_id LEFT JOIN s ON s.model = c.model AND s.label = c.label""",
+        "vectors",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def density_partition(spark, sf_dir):
+    """Clusters of all articles as one snapshot of two dimensions, within a fixed radius."""
+    flat = inputs.vectors(spark, sf_dir).withColumn("coords", F.slice("coords", 1, 2))
+    out = T.density_clusters(flat.withColumns({"at": F.lit(1), "first_at": F.lit(1)}), epsilon=RADIUS)
+    return out.select("model", "article_id", "cluster_id")
+
+
 @register(
     "connected_components",
     """WITH RECURSIVE e AS (SELECT DISTINCT lang, doc_id AS a, prev AS b FROM (

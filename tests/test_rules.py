@@ -87,6 +87,32 @@ def test_cleaning_text(spark):
     assert one(spark, T.published_day(F.lit(""))) == ""
 
 
+@pytest.mark.parametrize(
+    "raw, want",
+    [
+        ("Wed, 02 Apr 2025 07:00:00 GMT", "2025-04-02 07:00:00"),
+        ("2 Apr 2025 01:30:00 +0200", "2025-04-01 23:30:00"),
+        ("Wednesday, 2 April 2025", "2025-04-02 00:00:00"),
+        ("April 2, 2025", "2025-04-02 00:00:00"),
+        ("may 2, 2025", "2025-05-02 00:00:00"),
+        ("20250402", "2025-04-02 00:00:00"),
+        ("2025-04-02T00:30:00+02:00", "2025-04-01 22:30:00"),
+        ("2025-04-02", "2025-04-02 00:00:00"),
+        ("20251345", None),
+        ("April 31, 2025", None),
+        ("Foo 2, 2025", None),
+        ("1700000000", None),
+        ("soon 3", None),
+        ("", None),
+        (None, None),
+    ],
+)
+def test_dates_of_one_parser(spark, raw, want):
+    text = F.lit(raw).cast("string")
+    assert one(spark, utc_naive(text).cast("string")) == want
+    assert one(spark, T.published_day(text)) == (want[:10] if want else raw or "")
+
+
 def test_coercions(spark):
     assert [one(spark, topic_number(F.lit(x))) for x in ("3", "3.0", "x", "nan")] == [3, 3, -1, -1]
     assert [one(spark, truthy(F.lit(x))) for x in ("True", "YES", "1", "0", "no")] == [True, True, True, False, False]
@@ -287,6 +313,39 @@ def test_clusters_have_their_minimum_size(spark):
     assert all(0 <= r["outlier_score"] <= 1 for r in got)
 
 
+@pytest.mark.parametrize(
+    "places",
+    [
+        [0, 0.1, 0.2, 0.3, 0.4, 0.85, 0.95, 1.05, 1.15, 1.25],  # 0.4 and 0.85 are no neighbours of each other's list
+        [0.0] * 6 + [0.01] * 6,  # copies fill the lists
+    ],
+)
+def test_clusters_hold_all_links_within_epsilon(spark, places):
+    rows = [(0, 1, i, 1, [float(x)]) for i, x in enumerate(places)]
+    df = spark.createDataFrame(rows, "model INT, at INT, article_id BIGINT, first_at INT, coords ARRAY<DOUBLE>")
+    assert set(values(topics.density_clusters(df, epsilon=0.5), "cluster_id")) == {0}
+
+
+@pytest.mark.parametrize("block", [1000, 16])
+def test_links_within_epsilon_against_brute_force(spark, block):
+    rng = np.random.default_rng(8)
+    pts = rng.random((150, 2)) * 10
+    data = [(m, t, i, [float(x) for x in pts[i]], 0.6 + 0.1 * t) for m in (0, 1) for t in (1, 2) for i in range(75 * t)]
+    df = spark.createDataFrame(data, "model INT, at INT, node BIGINT, coords ARRAY<DOUBLE>, eps DOUBLE")
+    links = neighbours.links_within(df, block)
+    got = topics.connected_components(df.select("model", "at", "node"), links, ["model", "at"]).collect()
+    for t in (1, 2):
+        close = np.sqrt(((pts[: 75 * t, None] - pts[None, : 75 * t]) ** 2).sum(axis=2)) <= 0.6 + 0.1 * t
+        label = np.arange(75 * t)
+        for _ in range(75 * t):
+            label = np.where(close, label[None, :], 75 * t).min(axis=1)
+        for m in (0, 1):
+            assert {r["node"]: r["label"] for r in got if r["at"] == t and r["model"] == m} == dict(enumerate(label))
+    if block == 1000:  # one meeting per snapshot: fewer links than its two sides have points
+        assert links.count() < 2 * 2 * 225
+    assert neighbours.links_within(df.limit(0)).count() == 0
+
+
 # ---------------------------------------------------------------- experiments
 
 
