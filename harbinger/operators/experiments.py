@@ -19,6 +19,7 @@ from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from harbinger.functions.columns import as_col, number, ratio
 from harbinger.functions.keyed import dense_index
@@ -50,7 +51,7 @@ def eligibility(matrix: DataFrame, cv_folds: int = 5) -> DataFrame:
     )
     n, pos, neg = F.col("n_articles"), F.col("n_pos"), F.col("n_neg")
     splits = F.least(F.lit(cv_folds).cast("bigint"), n, pos, neg)
-    reason = (
+    reason = (  # fixed output texts
         F.when((n < 2) | (pos == 0) | (neg == 0), "fewer than two classes")
         .when(splits < 2, "too few minority examples")
         .otherwise("")
@@ -144,7 +145,10 @@ def _classifier(name: str, s: Settings, total_weight: float):
 
 def numeric_features(matrix: DataFrame, features: list[str]) -> DataFrame:
     """Features as numbers; what is no number becomes null, for the imputer."""
-    return matrix.withColumns({c: number(F.col(c).cast("string")) for c in features})
+    kinds = {f.name: f.dataType for f in matrix.schema.fields}
+    return matrix.withColumns(
+        {c: number(F.col(c) if isinstance(kinds[c], NumericType) else F.col(c).cast("string")) for c in features}
+    )
 
 
 def fit(train: DataFrame, features: list[str], name: str, s: Settings, pos_weight: float | None = None):

@@ -164,9 +164,7 @@ def bootstrap_interval(predictions: DataFrame, seed: int = 0, resamples: int = R
     """
     spark = predictions.sparkSession
     counts = cell(predictions).select("n", "tp", "fp", "fn")
-    draws = spark.range(resamples).select(F.col("id").alias("b"), F.lit(1).alias("one")).join(
-        F.broadcast(counts.withColumn("one", F.lit(1))), "one"
-    )
+    draws = spark.range(resamples).select(F.col("id").alias("b")).crossJoin(F.broadcast(counts))  # one row of counts
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -220,7 +218,7 @@ def main_table(name: str, rows: DataFrame, features: list[str], warmup_weeks: in
         predictions, _ = roll(rows, features, extended_warmup, 14, s)
         if predictions is not None:
             late = _one(predictions, seed, resamples)
-            foot = (
+            foot = (  # fixed output text
                 f"window-fit rule pools {cells[14]['pos']}/{cells[14]['neg']} at W=14d; "
                 f"{extended_warmup}-week warm-up: F1 = {shown(late)}"
             )
@@ -231,15 +229,18 @@ def main_table(name: str, rows: DataFrame, features: list[str], warmup_weeks: in
 
 
 def stability(name: str, rows: DataFrame, features: list[str], warmup_weeks: int, s: Settings,
-              windows: list[int] | None = None, seed: int = 1, resamples: int = RESAMPLES) -> DataFrame:
-    """F1 over window lengths; lengths without pooled positives are left out."""
+              windows: list[int] | None = None, seed: int = len(MAIN_WINDOWS) + 1,
+              resamples: int = RESAMPLES) -> DataFrame:
+    """F1 over window lengths; lengths without pooled positives are left out.
+
+    Resampling seeds count on from the main table's, one per length, left out or not.
+    """
     out = []
-    for w in windows or STABILITY_WINDOWS:
+    for seed, w in enumerate(windows or STABILITY_WINDOWS, seed):
         predictions, _ = roll(rows, features, warmup_weeks, w, s)
         if predictions is None:
             continue
         c = _one(predictions, seed, resamples)
-        seed += 1
         if c["pos"]:
             out.append((name, f"{w}d", f"{warmup_weeks}w", round(c["F1"], 3), round(c["lo"], 3), round(c["hi"], 3),
                         c["pos"], c["pos"] < LOW_COUNT))

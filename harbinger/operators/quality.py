@@ -22,12 +22,13 @@ def article_checks(articles: DataFrame, id_col: str = "article_id", date_col: st
     parsed = utc_naive(date_col)
     counted = articles.agg(
         F.count_if(parsed.isNull()).alias("bad_dates"),
-        F.count_distinct(parsed).alias("dates"),
+        F.min(parsed).alias("first_date"),
+        F.max(parsed).alias("last_date"),
         F.count_if(F.col(id_col).isNull()).alias("null_ids"),
         F.count(id_col).alias("ids"),
         F.count_distinct(id_col).alias("distinct_ids"),
     )
-    few = (F.col("dates") < 2).cast("bigint")
+    few = F.coalesce(F.col("first_date") == F.col("last_date"), F.lit(True)).cast("bigint")
     rows = [
         ("unparseable_dates", "error", F.col("bad_dates")),
         ("fewer_than_two_dates", "warning", few),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from math import factorial
 
 import numpy as np
@@ -153,6 +154,7 @@ def shapley_values(model, rows: DataFrame, base_rows: DataFrame, features: list[
     )
 
 
+# The labels of impact, direction and significance.
 def impact(shap: Column | str) -> Column:
     s = as_col(shap)
     return F.when(s > 0, "pushes_toward_TOA").when(s < 0, "pushes_away_from_TOA").otherwise("no_effect")
@@ -228,10 +230,21 @@ def explain_final(matrix: DataFrame, k: int, features: list[str], s: Settings,
 def explain_out_of_fold(matrix: DataFrame, k: int, features: list[str], s: Settings,
                         max_background: int = MAX_BACKGROUND) -> DataFrame:
     """Attributions of held-out rows: medians, weight and model from the training folds,
-    seed + fold for the background; training folds with one class are skipped."""
+    seed + fold for the background; training folds with one class are skipped.
+
+    One class alone is an error.  Two classes with too few rows of the smaller one, or
+    with no usable fold, give an empty table and a warning.
+    """
     state = eligibility(matrix.where(F.col("agreement_k") == k), s.cv_folds).first()
-    if state is None or state["skipped"]:
-        raise ValueError(f"agreement_k={k} cannot be split into folds")
+    if state is None or not (state["n_pos"] and state["n_neg"]):
+        raise ValueError(f"agreement_k={k} has fewer than two classes")
+    nothing = matrix.sparkSession.createDataFrame(
+        [], "media_url STRING, feature STRING, feature_value DOUBLE, shap_value DOUBLE, impact_direction STRING, "
+        "fold INT, y INT, pred_proba DOUBLE"
+    )
+    if state["skipped"]:
+        warnings.warn(f"agreement_k={k}: {state['skipped']}")
+        return nothing
     rows = numeric_features(matrix.where((F.col("agreement_k") == k) & F.col("label_TOA").isNotNull()), features)
     folded = keep(group_folds(rows, "article_url", int(state["cv_n_splits"])))
     out = None
@@ -242,6 +255,9 @@ def explain_out_of_fold(matrix: DataFrame, k: int, features: list[str], s: Setti
         model = fit(train, features, "xgb", s)
         part = shapley_values(model, test, train, features, s.seed + fold, max_background).withColumn("fold", F.lit(fold))
         out = part if out is None else out.unionByName(part)
+    if out is None:
+        warnings.warn(f"agreement_k={k}: no training fold has two classes")
+        return nothing
     return out.select(
         F.col("article_url").alias("media_url"), "feature", "feature_value", "shap_value",
         impact("shap_value").alias("impact_direction"), "fold", "y", "pred_proba",

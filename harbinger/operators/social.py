@@ -35,8 +35,14 @@ def cutoff(pub: Column | str) -> Column:
 
 
 def cutoffs(articles: DataFrame) -> DataFrame:
-    """One row per article with its cut-off; articles without a date have none."""
-    return articles.groupBy("article_id").agg(F.min(cutoff("pub")).alias("cut"))
+    """One row per article with its cut-off; articles without a date have none.
+
+    An article listed twice counts as in its first row (smallest ``ingest_pos``); a table
+    without positions has no first row, so the earliest cut-off counts.
+    """
+    cut = cutoff("pub")
+    first = F.min_by(cut, "ingest_pos") if "ingest_pos" in articles.columns else F.min(cut)
+    return articles.groupBy("article_id").agg(first.alias("cut"))
 
 
 def shares_as_of(articles: DataFrame, shares: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ from harbinger.session import cut_lineage, keep
 ALIGNMENT_THRESHOLD = 0.30
 # pairs of snapshots whose larger side has more topics than this are matched by auction
 MATRIX_LIMIT = 2000
+TOPIC_BLOCK = 256
 
 
 def day_axis(articles: DataFrame) -> DataFrame:
@@ -167,11 +168,17 @@ def transition_costs(centroids: DataFrame) -> DataFrame:
     """Cosine distance between the clusters of neighbouring snapshots: model, at, prev, cur, cost.
 
     ``at`` is the later snapshot.  A snapshot without clusters has no rows on either side,
-    so no identity passes it.
+    so no identity passes it.  Earlier clusters are split into blocks and later ones
+    visit each block, so a wide pair of snapshots is dealt to many tasks.
     """
-    prev = centroids.select("model", (F.col("at") + 1).alias("at"), F.col("cluster_id").alias("prev"), F.col("centroid").alias("cp"))
+    block = F.floor(F.col("cluster_id") / TOPIC_BLOCK).cast("int")
+    prev = centroids.select(
+        "model", (F.col("at") + 1).alias("at"), block.alias("block"), F.col("cluster_id").alias("prev"), F.col("centroid").alias("cp")
+    )
     cur = centroids.select("model", "at", F.col("cluster_id").alias("cur"), F.col("centroid").alias("cc"))
-    return prev.join(cur, ["model", "at"]).select(
+    blocks = prev.select("model", "at", "block").distinct()
+    visits = cur.join(blocks, ["model", "at"])
+    return prev.join(visits, ["model", "at", "block"]).select(
         "model", "at", "prev", "cur", cosine_distance(F.col("cp"), F.col("cc")).alias("cost")
     )
 

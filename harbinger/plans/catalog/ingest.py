@@ -61,7 +61,8 @@ def records_export(spark, sf_dir):
     for kind in ["csv", "jsonl"]:
         path = _scratch(spark, "records") + f".{kind}"
         tables.export_records(docs, path)
-        parts.append(tables.read_table(spark, path, "doc_id BIGINT, text STRING").select(F.lit(kind).alias("kind"), "*"))
+        back = tables.read_table(spark, path, "doc_id BIGINT, text STRING", multi_line=True)
+        parts.append(back.select(F.lit(kind).alias("kind"), "*"))
     return parts[0].unionByName(parts[1])
 
 

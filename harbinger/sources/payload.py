@@ -56,19 +56,23 @@ def enrich_posts(pages: DataFrame) -> DataFrame:
         found = F.transform(keys, lambda k: find(items, field, k))
         return F.filter(found, lambda it: it.isNotNull())
 
-    post = pages.withColumn("post", F.explode("data"))
-    keys = F.col("post.attachments.media_keys")
-    refs = listed(F.transform("post.referenced_tweets", lambda r: r.getField("id")), tweets, "id")
-    return post.select(
-        "page_id",
-        "post.*",
-        find(users, "id", F.col("post.author_id")).alias("user"),
-        F.when(F.size(F.coalesce(keys, F.array())) > 0, listed(keys, media, "media_key")).alias("media"),
-        find(places, "id", F.col("post.geo.place_id")).alias("place"),
-        F.transform(
-            refs, lambda t: F.struct(t.alias("post"), find(users, "id", t.getField("author_id")).alias("user"))
-        ).alias("referenced_full"),
-    )
+    names = pages.schema["data"].dataType.elementType.names
+
+    def enriched(post: Column) -> Column:
+        keys = post.getField("attachments").getField("media_keys")
+        refs = listed(F.transform(post.getField("referenced_tweets"), lambda r: r.getField("id")), tweets, "id")
+        return F.struct(
+            *[post.getField(n).alias(n) for n in names],
+            find(users, "id", post.getField("author_id")).alias("user"),
+            F.when(F.size(F.coalesce(keys, F.array())) > 0, listed(keys, media, "media_key")).alias("media"),
+            find(places, "id", post.getField("geo").getField("place_id")).alias("place"),
+            F.transform(
+                refs, lambda t: F.struct(t.alias("post"), find(users, "id", t.getField("author_id")).alias("user"))
+            ).alias("referenced_full"),
+        )
+
+    # looked up before posts become rows, so no row carries the page's side lists
+    return pages.select("page_id", F.inline(F.transform("data", enriched)))
 
 
 def flatten(df: DataFrame, sep: str = "_") -> DataFrame:

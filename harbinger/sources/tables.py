@@ -25,10 +25,12 @@ def format_of(path: str) -> str:
     return FORMATS[suffix]
 
 
-def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None,
+               multi_line: bool = False) -> DataFrame:
     """Typed read chosen by the path suffix.
 
-    CSV needs a schema: inferring one would scan the whole input twice.
+    CSV needs a schema: inferring one would scan the whole input twice.  CSV whose fields
+    hold line breaks needs ``multi_line``; such a file cannot be split and is one task.
     """
     kind = format_of(path)
     reader = spark.read.format(kind)
@@ -37,7 +39,7 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str | None =
     if kind == "csv":
         if schema is None:
             raise ValueError("give a schema for CSV input")
-        reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
+        reader = reader.option("header", True).option("multiLine", multi_line).option("escape", '"')
     return reader.load(path)
 
 
@@ -51,14 +53,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def read_optional_table(spark: SparkSession, path: str | None, schema: StructType | str | None = None):
+def read_optional_table(spark: SparkSession, path: str | None, schema: StructType | str | None = None,
+                        multi_line: bool = False):
     """The table, or None where no path is configured or nothing lies there."""
     if path is None or str(path).lower() in {"", "none", "null"}:
         return None
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
         return None
-    return read_table(spark, path, schema)
+    return read_table(spark, path, schema, multi_line)
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:

@@ -250,6 +250,14 @@ def test_projection_blocks(spark, block):
     assert got == want
 
 
+def test_first_row_gives_the_cutoff(spark):
+    rows = [("a", 1, datetime(2024, 5, 3, 9)), ("a", 2, datetime(2024, 5, 1, 9)), ("b", 3, datetime(2024, 5, 1))]
+    df = spark.createDataFrame(rows, "article_id STRING, ingest_pos BIGINT, pub TIMESTAMP_NTZ")
+    want = {"a": datetime(2024, 5, 3, 9), "b": datetime(2024, 5, 2)}
+    assert {r["article_id"]: r["cut"] for r in social.cutoffs(df).collect()} == want
+    assert {r["article_id"]: r["cut"].day for r in social.cutoffs(df.drop("ingest_pos")).collect()} == {"a": 1, "b": 2}
+
+
 def test_no_shares_gives_zeros(spark):
     arts = spark.createDataFrame([(1, datetime(2024, 1, 1))], "article_id INT, pub TIMESTAMP_NTZ")
     row = social.social_features(arts, None).first()
@@ -416,6 +424,15 @@ def test_overlapping_splits_are_refused(spark):
 # ---------------------------------------------------------------- attributions
 
 
+def test_too_few_of_a_class_gives_no_attributions(spark):
+    rows = [(f"u{i}", 1, int(i == 0), float(i)) for i in range(8)]
+    df = spark.createDataFrame(rows, "article_url STRING, agreement_k INT, label_TOA INT, x DOUBLE")
+    with pytest.warns(UserWarning):
+        assert shapley.explain_out_of_fold(df, 1, ["x"], experiments.Settings()).count() == 0
+    with pytest.raises(ValueError):
+        shapley.explain_out_of_fold(df.where("label_TOA = 0"), 1, ["x"], experiments.Settings())
+
+
 def test_attributions_against_brute_force():
     rng = np.random.default_rng(2)
     leaves = []
