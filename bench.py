@@ -24,6 +24,8 @@ QUERIES = [
     "knn_density",
     "geometry_features",
     "transition_costs",
+    "topic_matches",
+    "reconstructed_topics",
     "topic_lineage",
     "paired_tests",
     "chain_window_counts",

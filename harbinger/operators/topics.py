@@ -7,6 +7,7 @@ is_outlier, outlier_score, coords`` and one row per topic and snapshot.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -21,8 +22,6 @@ from harbinger.operators.neighbours import BLOCK, links_within, nearest
 from harbinger.session import cut_lineage, keep
 
 ALIGNMENT_THRESHOLD = 0.30
-# pairs of snapshots whose larger side has more topics than this are matched by auction
-MATRIX_LIMIT = 2000
 TOPIC_BLOCK = 256
 
 
@@ -183,19 +182,38 @@ def transition_costs(centroids: DataFrame) -> DataFrame:
     )
 
 
-def assign(cost: np.ndarray) -> list[tuple[int, int]]:
-    """Optimal one-to-one assignment of a matrix by shortest augmenting paths; the larger
-    side stays partly unmatched."""
-    if cost.shape[0] > cost.shape[1]:
-        return sorted((r, c) for c, r in assign(cost.T))
-    n, m = cost.shape
+def directions(centroids: pd.Series, dims: int) -> np.ndarray:
+    """Centroids as rows of length 1; null and zero ones stay zero, so their cost is 1 with everything."""
+    rows = np.array([np.zeros(dims) if c is None else c for c in centroids], dtype=float).reshape(len(centroids), dims)
+    rows = np.nan_to_num(rows)
+    norm = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
+
+
+def assign(costs: Callable[[int, int], np.ndarray], n: int, m: int) -> np.ndarray:
+    """Column of each of ``n`` rows in the assignment of least total cost, ``n <= m``.
+
+    ``costs(a, b)`` gives rows a to b of the cost matrix, which is never held whole: memory
+    is linear in n + m.  Rows take their cheapest column where it is free; only the others
+    search, each along the shortest augmenting path.
+    """
     u, v, owner = np.zeros(n), np.zeros(m), np.full(m, -1)
-    for row in range(n):
+    waiting = []
+    for a in range(0, n, TOPIC_BLOCK):
+        block = costs(a, min(n, a + TOPIC_BLOCK))
+        cheapest = block.argmin(axis=1)
+        for row, col in enumerate(cheapest, a):
+            u[row] = block[row - a, col]
+            if owner[col] < 0:
+                owner[col] = row
+            else:
+                waiting.append(row)
+    for row in waiting:
         dist, came = np.full(m, np.inf), np.full(m, -1)
         done, col, cur = np.zeros(m, dtype=bool), -1, row
         low = 0.0
         while True:
-            step = low + cost[cur] - u[cur] - v
+            step = low + costs(cur, cur + 1)[0] - u[cur] - v
             better = ~done & (step < dist)
             dist[better], came[better] = step[better], col
             col = int(np.where(done, np.inf, dist).argmin())
@@ -212,97 +230,47 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
             before = came[col]
             owner[col] = row if before < 0 else owner[before]
             col = before
-    return sorted((int(r), c) for c, r in enumerate(owner) if r >= 0)
-
-
-def auction(costs: DataFrame, precision: float = 1e-6, max_rounds: int = 10000) -> DataFrame:
-    """The same assignment by Bertsekas' auction as Spark joins, for pairs of snapshots with
-    too many topics for one matrix in a task.
-
-    Optimal up to ``precision`` in the total cost.  The smaller side bids; in each round
-    every free bidder bids for its best partner, and partners keep the best offer.
-    """
-    keys = ["model", "at"]
-    sides = costs.groupBy(*keys).agg(F.count_distinct("prev").alias("np"), F.count_distinct("cur").alias("nc"))
-    flip = F.col("np") > F.col("nc")
-    table = cut_lineage(
-        costs.join(sides, keys).select(
-            *keys, F.when(flip, F.col("cur")).otherwise(F.col("prev")).alias("bidder"),
-            F.when(flip, F.col("prev")).otherwise(F.col("cur")).alias("item"), "cost", flip.alias("flipped"),
-            (F.lit(precision) / F.least("np", "nc")).alias("eps"),
-        )
-    )
-    held = table.limit(0).select(*keys, "item", "bidder", F.lit(0.0).alias("price"))
-    for _ in range(max_rounds):
-        free = table.select(*keys, "bidder").distinct().join(held.select(*keys, "bidder"), [*keys, "bidder"], "left_anti")
-        priced = table.join(free, [*keys, "bidder"]).join(held.select(*keys, "item", "price"), [*keys, "item"], "left")
-        price = F.coalesce("price", F.lit(0.0))
-        order = Window.partitionBy(*keys, "bidder").orderBy(F.col("gain").desc(), "item")
-        top = (
-            priced.select(*keys, "bidder", "item", "eps", price.alias("price"), (-F.col("cost") - price).alias("gain"))
-            .withColumn("r", F.row_number().over(order))
-            .where(F.col("r") <= 2)
-        )
-        first, second = F.col("r") == 1, F.col("r") == 2
-        best = top.groupBy(*keys, "bidder").agg(
-            F.max(F.when(first, F.struct("item", "price"))).alias("b"),
-            F.max(F.when(first, F.col("gain"))).alias("g1"),
-            F.max(F.when(second, F.col("gain"))).alias("g2"),
-            F.max("eps").alias("eps"),
-        )
-        bids = best.select(
-            *keys, F.col("b.item").alias("item"), "bidder",
-            (F.col("b.price") + F.col("g1") - F.coalesce("g2", F.col("g1")) + F.col("eps")).alias("price"),
-        )
-        offers = bids.unionByName(held)
-        held = cut_lineage(
-            offers.groupBy(*keys, "item").agg(
-                F.max_by("bidder", F.struct("price", -F.col("bidder"))).alias("bidder"), F.max("price").alias("price")
-            ).select(*keys, "item", "bidder", "price")
-        )
-        waiting = table.select(*keys, "bidder").distinct().join(held, [*keys, "bidder"], "left_anti").limit(1).count()
-        if not waiting:
-            won = held.join(table, [*keys, "bidder", "item"])
-            return won.select(
-                *keys, F.when(F.col("flipped"), F.col("item")).otherwise(F.col("bidder")).alias("prev"),
-                F.when(F.col("flipped"), F.col("bidder")).otherwise(F.col("item")).alias("cur"), "cost",
-            )
-    raise RuntimeError("auction did not settle; raise max_rounds")
+    out = np.full(n, -1)
+    out[owner[owner >= 0]] = np.flatnonzero(owner >= 0)
+    return out
 
 
-def match_topics(costs: DataFrame, threshold: float = ALIGNMENT_THRESHOLD, limit: int = MATRIX_LIMIT) -> DataFrame:
-    """Optimal matches of every pair of snapshots, then those within the threshold.
+def match_topics(centroids: DataFrame, threshold: float = ALIGNMENT_THRESHOLD) -> DataFrame:
+    """Optimal matches of every pair of neighbouring snapshots, then those within the
+    threshold: model, at, prev, cur, cost.
 
     The threshold comes after the assignment, as it changes who is matched otherwise.
-    All pairs are solved in parallel.  A pair is one task only while its matrix is at
-    most ``limit`` wide; wider pairs go through ``auction``.  One small job counts them.
+    All pairs of snapshots are solved in parallel, each in one task whatever its width:
+    the task holds the centroids of both sides and works out costs row by row, so the
+    pairs of topics are neither shuffled nor held.  ``centroids``: model, at, cluster_id,
+    centroid.
     """
-    costs = keep(costs)
-    model_type = costs.schema["model"].dataType.simpleString()
-    width = costs.groupBy("model", "at").agg(
-        F.greatest(F.count_distinct("prev"), F.count_distinct("cur")).alias("width")
+    kinds = {f.name: f.dataType.simpleString() for f in centroids.schema.fields}
+    schema = f"model {kinds['model']}, at {kinds['at']}, prev {kinds['cluster_id']}, cur {kinds['cluster_id']}, cost DOUBLE"
+    sides = centroids.select("model", "at", "cluster_id", "centroid")
+    earlier = sides.select(
+        F.col("model").alias("model"), (F.col("at") + 1).cast(kinds["at"]).alias("at"),
+        F.col("cluster_id").alias("cluster_id"), F.col("centroid").alias("centroid"),
     )
-    small = costs.join(width.where(F.col("width") <= limit), ["model", "at"], "left_semi")
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = pdf.pivot(index="prev", columns="cur", values="cost").sort_index().sort_index(axis=1)
-        pairs = assign(grid.to_numpy())
+    def solve(key: tuple, prev: pd.DataFrame, cur: pd.DataFrame) -> pd.DataFrame:
+        if not len(prev) or not len(cur):
+            return pd.DataFrame({"model": [], "at": [], "prev": [], "cur": [], "cost": []})
+        flip = len(prev) > len(cur)
+        few, many = (cur, prev) if flip else (prev, cur)
+        few, many = few.sort_values("cluster_id"), many.sort_values("cluster_id")
+        dims = max((len(c) for side in (few, many) for c in side["centroid"] if c is not None), default=0)
+        x, y = directions(few["centroid"], dims), directions(many["centroid"], dims)
+        got = assign(lambda a, b: 1.0 - x[a:b] @ y.T, len(x), len(y))
+        one, two = few["cluster_id"].to_numpy(), many["cluster_id"].to_numpy()[got]
+        if flip:
+            one, two = two, one
         return pd.DataFrame(
-            {
-                "model": pdf["model"].iloc[0],
-                "at": pdf["at"].iloc[0],
-                "prev": [grid.index[r] for r, _ in pairs],
-                "cur": [grid.columns[c] for _, c in pairs],
-                "cost": [grid.iat[r, c] for r, c in pairs],
-            }
+            {"model": key[0], "at": key[1], "prev": one, "cur": two, "cost": 1.0 - (x * y[got]).sum(axis=1)}
         )
 
-    out = small.groupBy("model", "at").applyInPandas(
-        solve, f"model {model_type}, at INT, prev INT, cur INT, cost DOUBLE"
-    )
-    wide = width.where(F.col("width") > limit)
-    if wide.limit(1).count():
-        out = out.unionByName(auction(costs.join(wide, ["model", "at"], "left_semi")))
+    keys = ["model", "at"]
+    out = earlier.groupBy(*keys).cogroup(sides.groupBy(*keys)).applyInPandas(solve, schema)
     return out.where(F.col("cost") <= threshold)
 
 
@@ -363,5 +331,5 @@ def reconstruct(articles: DataFrame, coords: DataFrame, dims: int, threshold: fl
     snaps = keep(cumulative_snapshots(articles.select("article_id", "pub", "snapshot_date")).join(coords, "article_id"))
     clustered = cut_lineage(density_clusters(snaps, **density))
     cents = cut_lineage(cluster_centroids(snaps.join(clustered, ["model", "at", "article_id"]), dims))
-    links = match_topics(transition_costs(cents), threshold)
+    links = match_topics(cents, threshold)
     return assignment_table(snaps, clustered, topic_lineage(cents, links))

@@ -144,7 +144,44 @@ def transition_costs(spark, sf_dir):
 @register("topic_matches")
 def topic_matches(spark, sf_dir):
     cents = T.cluster_centroids(clustered(spark, sf_dir), DIMS)
-    return T.match_topics(T.transition_costs(cents)).withColumn("cost", r6("cost"))
+    return T.match_topics(cents).withColumn("cost", r6("cost"))
+
+
+# an assignment gives each topic of the smaller side one partner, and exchanging partners saves nothing
+@register(
+    "topic_match_faults",
+    sql(
+        f""", c AS (SELECT model, CAST(snapshot_date - DATE '2024-01-01' + 1 AS INT) AS d, count(*) AS n FROM ({CENTROIDS}) GROUP BY ALL)
+        SELECT c.model, c.d AS at, least(p.n, c.n) AS n_matched, 0::BIGINT AS n_repeated, 0::BIGINT AS n_wrong_costs,
+        0::BIGINT AS n_savings FROM c JOIN c p ON p.model = c.model AND p.d + 1 = c.d""",
+        "snapshots",
+        "vectors",
+    ),
+)
+def topic_match_faults(spark, sf_dir):
+    """Matches of any cost beside all costs: repeated topics, costs that differ, and better
+    partners by exchange with another match or with an unmatched topic."""
+    cents = T.cluster_centroids(clustered(spark, sf_dir), DIMS)
+    costs = T.transition_costs(cents)
+    matches = T.match_topics(cents, threshold=2.0)
+    keys = ["model", "at"]
+    mine = matches.select(*keys, "prev", F.col("cur").alias("own"), F.col("cost").alias("pays"))
+    theirs = matches.select(*keys, "cur", F.col("prev").alias("other"), F.col("cost").alias("gets"))
+    beside = costs.join(mine, [*keys, "prev"], "left").join(theirs, [*keys, "cur"], "left")
+    back = costs.select(*keys, F.col("prev").alias("other"), F.col("cur").alias("own"), F.col("cost").alias("back"))
+    swapped = beside.join(back, [*keys, "other", "own"], "left")
+    now = F.coalesce("pays", F.lit(0.0)) + F.coalesce("gets", F.lit(0.0))
+    saves = F.col("cost") + F.coalesce("back", F.lit(0.0)) < now - 1e-9
+    same = F.col("own") == F.col("cur")
+    faults = swapped.groupBy(*keys).agg(
+        F.count_if(same & (F.abs(F.col("cost") - F.col("pays")) > 1e-9)).alias("n_wrong_costs"),
+        F.count_if(~F.coalesce(same, F.lit(False)) & saves).alias("n_savings"),
+    )
+    counted = matches.groupBy(*keys).agg(
+        F.count("*").alias("n_matched"),
+        (2 * F.count("*") - F.count_distinct("prev") - F.count_distinct("cur")).alias("n_repeated"),
+    )
+    return counted.join(faults, keys, "full")
 
 
 # given links: a cluster continues the cluster of the same number unless (number + day) % 4 = 0

@@ -280,22 +280,44 @@ def test_assignment_is_optimal():
         c = rng.random((n, m))
         grid = c if n <= m else c.T
         best = min(sum(grid[i, p[i]] for i in range(min(n, m))) for p in itertools.permutations(range(max(n, m)), min(n, m)))
-        assert math.isclose(sum(c[r, k] for r, k in topics.assign(c)), best, abs_tol=1e-9)
+        got = topics.assign(lambda a, b: grid[a:b], *grid.shape)
+        assert len(set(got)) == min(n, m)
+        assert math.isclose(sum(grid[r, k] for r, k in enumerate(got)), best, abs_tol=1e-9)
 
 
-def test_auction_equals_matrix_assignment(spark):
-    rng = np.random.default_rng(5)
-    rows = [(m, 2, r, c, float(rng.random())) for m in (0, 1) for r in range(4 + m) for c in range(5 - m)]
-    costs = spark.createDataFrame(rows, "model INT, at INT, prev INT, cur INT, cost DOUBLE")
-    plain = {tuple(r) for r in topics.match_topics(costs, 2.0).select("model", "prev", "cur").collect()}
-    wide = {tuple(r) for r in topics.match_topics(costs, 2.0, limit=1).select("model", "prev", "cur").collect()}
-    assert plain == wide and len(plain) == 8
+def topics_at(angles):
+    """Centroids ``(model, at, cluster_id, centroid)`` on the unit circle, by snapshot."""
+    return [(0, at, i, [math.cos(math.radians(x)), math.sin(math.radians(x))]) for at, xs in angles.items() for i, x in enumerate(xs)]
+
+
+CENTROID = "model INT, at INT, cluster_id INT, centroid ARRAY<DOUBLE>"
 
 
 def test_threshold_comes_after_assignment(spark):
-    rows = [(0, 2, 0, 0, 0.1), (0, 2, 0, 1, 0.0), (0, 2, 1, 0, 0.9), (0, 2, 1, 1, 0.2)]
-    costs = spark.createDataFrame(rows, "model INT, at INT, prev INT, cur INT, cost DOUBLE")
-    assert {tuple(r) for r in topics.match_topics(costs).select("prev", "cur").collect()} == {(0, 0), (1, 1)}
+    """Alone, topic 0 would go on as 1; the least total gives it to 0 and leaves 1 too far away."""
+    rows = spark.createDataFrame(topics_at({1: [0, 60], 2: [-40, 0]}), CENTROID)
+    assert {tuple(r) for r in topics.match_topics(rows).select("at", "prev", "cur").collect()} == {(2, 0, 0)}
+
+
+def test_matches_of_odd_topics(spark):
+    rows = topics_at({1: [0, 0, 90], 2: [90], 4: [0]}) + [(0, 5, 0, None), (0, 6, 0, [0.0, 0.0]), (0, 6, 1, [1.0, 0.0])]
+    got = topics.match_topics(spark.createDataFrame(rows, CENTROID), 2.0).collect()
+    assert {(r["at"], r["prev"], r["cur"], round(r["cost"], 9)) for r in got} == {(2, 2, 0, 0.0), (5, 0, 0, 1.0), (6, 0, 0, 1.0)}
+    assert topics.match_topics(spark.createDataFrame([], CENTROID)).count() == 0
+
+
+def test_wide_snapshots_are_matched_exactly(spark):
+    """2,500 against 2,400 topics, the later ones being shifted copies, and as many of random direction."""
+    rng = np.random.default_rng(3)
+    old = rng.normal(size=(2500, 12))
+    new = old[rng.permutation(2500)[:2400]] + rng.normal(scale=1e-3, size=(2400, 12))
+    rows = [(m, at, i, [float(x) for x in c]) for m, later in ((0, new), (1, rng.normal(size=(2400, 12))))
+            for at, side in ((1, old), (2, later)) for i, c in enumerate(side)]
+    got = topics.match_topics(spark.createDataFrame(rows, CENTROID), 2.0).groupBy("model").agg(
+        F.count_distinct("prev").alias("p"), F.count_distinct("cur").alias("c"), F.max("cost").alias("far")
+    ).orderBy("model").collect()
+    assert [(r["p"], r["c"]) for r in got] == [(2400, 2400)] * 2
+    assert got[0]["far"] < 1e-3
 
 
 def test_empty_snapshot_breaks_lineage(spark):
