@@ -4,18 +4,21 @@ Only documents are labelled, yet a few sentences make a document toxic.  Every s
 gets a logistic score, a document's probability is the noisy-or of its sentences (it is
 harmless only if all of them are), and the sentence weights are fitted so that this
 probability agrees with the document labels.  The same weights then point at the
-sentences themselves.
+sentences themselves.  A sentence is known by its words and by how these begin, so that
+inflected and compound forms of an offending stem count although they were never seen.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harbinger.llm.common import small_batches, with_fields
@@ -24,6 +27,7 @@ from harbinger.session import cut_lineage
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 WORD_JVM = r"[^\p{L}\p{M}]+"
+STEMS = (3, 5, 7)  # letters of a word's beginnings
 
 
 @dataclass
@@ -32,21 +36,37 @@ class Model:
     weights: dict[str, float]
 
 
-def sentence_bags(text: str | None, vocabulary: dict[str, int]) -> list[list[int]]:
-    """Per sentence with a word: the vocabulary words in it, each once."""
+def known_parts(table: dict[str, object]) -> Callable[[str], tuple[str, ...]]:
+    """A function that gives those of a word and its beginnings (marked by a star) that ``table`` holds."""
+
+    @lru_cache(maxsize=50_000)
+    def parts(word: str) -> tuple[str, ...]:
+        return tuple(p for p in (word, *(word[:k] + "*" for k in STEMS if len(word) > k)) if p in table)
+
+    return parts
+
+
+def sentence_bags(text: str | None, vocabulary: dict[str, int], parts: Callable[[str], tuple[str, ...]]) -> list[list[int]]:
+    """Per sentence with a word: the parts of the vocabulary in it, each once."""
     out = []
     for s in SENTENCE.findall((text or "").lower()):
         words = set(WORD.findall(s))
         if words:
-            out.append(sorted(vocabulary[w] for w in words if w in vocabulary))
+            out.append(sorted({vocabulary[p] for w in words for p in parts(w)}))
     return out
 
 
 def informative_words(labelled: DataFrame, text: str, label: str, size: int) -> list[str]:
-    """The ``size`` words whose document frequency differs most between the labels (chi-square)."""
+    """The ``size`` words and beginnings whose document frequency differs most between the labels (chi-square)."""
+    words = F.array_distinct(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), WORD_JVM))
+
+    def beginnings(k: int) -> Column:
+        longer = F.filter(words, lambda w: F.length(w) > k)
+        return F.array_distinct(F.transform(longer, lambda w: F.concat(F.substring(w, 1, k), F.lit("*"))))
+
     rows = labelled.select(
         (F.col(label) == 1).cast("int").alias("y"),
-        F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), WORD_JVM))).alias("w"),
+        F.explode(F.concat(words, *[beginnings(k) for k in STEMS])).alias("w"),
     ).where("w != ''")
     totals = labelled.agg(F.count("*").alias("n"), F.sum((F.col(label) == 1).cast("int")).alias("p")).first()
     n, p = float(totals.n), float(totals.p or 0)
@@ -87,7 +107,7 @@ def fit(bags: list[list[list[int]]], labels: np.ndarray, words: list[str], round
 
 
 def learn(texts: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
-          words: int = 2000, sample: int = 20_000) -> Model:
+          words: int = 3000, sample: int = 20_000) -> Model:
     """Sentence weights from labelled texts; ``labels`` has ``key`` and a ``label`` of 0 or 1.
 
     At most about ``sample`` labelled rows are used, half of each label where there are
@@ -108,7 +128,8 @@ def learn(texts: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
     @F.pandas_udf("array<array<int>>")
     def bagged(column: pd.Series) -> pd.Series:
-        return pd.Series([sentence_bags(v, vocabulary) for v in column])
+        parts = known_parts(vocabulary)
+        return pd.Series([sentence_bags(v, vocabulary, parts) for v in column])
 
     bags, found = [], []
     for r in rows.select("_y", bagged("text").alias("bags")).toLocalIterator():
@@ -117,13 +138,13 @@ def learn(texts: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     return fit(bags, np.array(found), chosen)
 
 
-def sentence_scores(text: str | None, model: Model) -> list[tuple[int, int, float]]:
+def sentence_scores(text: str | None, model: Model, parts: Callable[[str], tuple[str, ...]]) -> list[tuple[int, int, float]]:
     """``(start, end, score)`` of each sentence with a word."""
     out = []
     for m in SENTENCE.finditer(text or ""):
         words = set(WORD.findall(m[0].lower()))
         if words:
-            z = model.bias + sum(model.weights.get(w, 0.0) for w in words)
+            z = model.bias + sum(model.weights[p] for p in sorted({p for w in words for p in parts(w)}))
             out.append((m.start(), m.end(), 1 / (1 + np.exp(-max(-30.0, min(30.0, z))))))
     return out
 
@@ -142,8 +163,9 @@ def score(texts: DataFrame, model: Model, text: str = "text", offending: float =
     @F.pandas_udf("score double, offending array<struct<start: int, end: int, score: double>>")
     def scored(column: pd.Series) -> pd.DataFrame:
         model, totals, places = shared.value, [], []
+        parts = known_parts(model.weights)
         for value in column:
-            found = sentence_scores(value, model)
+            found = sentence_scores(value, model, parts)
             p = -np.expm1(sum(np.log1p(-min(s, 1 - 1e-12)) for _, _, s in found)) if found else 0.0
             totals.append(float(min(1.0, max(0.0, p))))
             places.append([{"start": a, "end": b, "score": float(s)} for a, b, s in found if s >= offending])
