@@ -41,7 +41,7 @@ def known_parts(table: dict[str, object]) -> Callable[[str], tuple[str, ...]]:
 
     @lru_cache(maxsize=50_000)
     def parts(word: str) -> tuple[str, ...]:
-        return tuple(p for p in (word, *(word[:k] + "*" for k in STEMS if len(word) > k)) if p in table)
+        return tuple(p for p in (word, *(word[:k] + "*" for k in STEMS if len(word) >= k)) if p in table)
 
     return parts
 
@@ -61,7 +61,7 @@ def informative_words(labelled: DataFrame, text: str, label: str, size: int) ->
     words = F.array_distinct(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), WORD_JVM))
 
     def beginnings(k: int) -> Column:
-        longer = F.filter(words, lambda w: F.length(w) > k)
+        longer = F.filter(words, lambda w: F.length(w) >= k)
         return F.array_distinct(F.transform(longer, lambda w: F.concat(F.substring(w, 1, k), F.lit("*"))))
 
     rows = labelled.select(

@@ -196,8 +196,9 @@ def test_toxicity_finds_documents_and_sentences(spark):
     for r in toxicity.score(docs.where("doc_id >= 160"), model).collect():
         assert (r.score >= 0.7) == (r.doc_id % 3 == 0)
         assert all(re.search("blarg|snork", r.text[o.start : o.end]) for o in r.offending)
-    unseen = toxicity.score(table(spark, ["they snorkle and blargish. river house.", "green walk blank."]), model)
-    assert [r.score >= 0.7 for r in unseen.orderBy("doc_id").collect()] == [True, False]
+    unseen = toxicity.score(table(spark, ["you are a snorkle. river house.", "you are a walker. green blank."]), model)
+    compound, other = [r.score for r in unseen.orderBy("doc_id").collect()]
+    assert compound >= 0.7 and compound > other
     assert toxicity.learn(docs, marks.where("toxic = 1")).weights == {}
 
 
