@@ -84,11 +84,12 @@ def card(text: str, f: Feistel) -> str | None:
 
 def phone(text: str, f: Feistel) -> str | None:
     """Ten national digits, area and exchange from 200 on, permuted under their country code; or
-    a number with + of another plan, whose last seven or more digits are permuted."""
+    a number of 8 to 15 digits with + of another plan, of which all but the first three after the
+    head are permuted.  No country but 1 and 7 has a code of one digit."""
     d = digits_of(text)
     head, body = d[:-10], d[-10:]
-    national = len(d) >= 10 and body[0] not in "01" and body[3] not in "01"
-    if not 10 <= len(d) <= 15 or text[0] != "+" and (not national or head not in ("", "1")):
+    national = len(d) >= 10 and body[0] not in "01" and body[3] not in "01" and (len(head) != 1 or head in "17")
+    if not 8 <= len(d) <= 15 or text[0] != "+" and (not national or head not in ("", "1")):
         return None
     if not national:
         keep = len(head) + 3
@@ -156,10 +157,12 @@ def iban(text: str, f: Feistel) -> str | None:
 
 def secret(text: str, f: Feistel) -> str | None:
     """Values assigned to a name that says token, secret, key or password."""
-    shape = re.fullmatch(r"(.*[\"'=:\s])([A-Za-z0-9_+/-]{16,})([\"']?)", text, re.S)
+    shape = re.fullmatch(r"(.*[\"'=:\s])([A-Za-z0-9_+/.-]{16,})([\"']?)", text, re.S)
     if shape is None:
         return None
     value = shape[2]
+    if max(map(len, value.split("."))) < 16 and not any(c in DIGITS for c in value):
+        return None  # a dotted name, as in code
     if re.fullmatch(r"[0-9a-f]+", value):
         new = f"{f.permute(int(value, 16), 16 ** len(value), b'hex%d' % len(value)):0{len(value)}x}"
     else:
@@ -235,15 +238,16 @@ def named_date(text: str, f: Feistel) -> str | None:
 NAMES = "|".join(m if len(m) < 4 else f"{m[:3]}(?:{m[3:]})?" for m in MONTHS)
 KINDS: list[tuple[str, str, Callable[[str, Feistel], str | None]]] = [
     ("email", r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", email),
-    ("secret", r"(?i:\b(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)\b[\"']?\s*[=:]\s*[\"']?)[A-Za-z0-9_+/-]{16,}[\"']?", secret),
-    ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", iban),
+    ("secret", r"(?i:\b(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)\b[\"']?\s*[=:]\s*[\"']?)[A-Za-z0-9_+/-][A-Za-z0-9_+/.-]{14,}[A-Za-z0-9_+/-][\"']?", secret),
+    ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", iban),
     ("address", r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)", address),
     ("date", r"(?<!\d)\d{4}[-/.](?:0[1-9]|1[0-2])[-/.](?:0[1-9]|[12]\d|3[01])(?!\d)", iso_date),
     ("date", r"(?<![\d/.-])\d{1,2}([/.-])\d{1,2}\1\d{4}(?!\d)", short_date),
     ("date", rf"\b(?:\d{{1,2}} (?:{NAMES})|(?:{NAMES}) \d{{1,2}}),? \d{{4}}\b", named_date),
     ("social", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", social),
-    ("card", r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])", card),
-    ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])|(?<![\w+])\+\d{10,14}(?!\d)", phone),
+    ("card", r"(?<!\d)\d(?:[ -]?\d){12,18}", card),
+    ("phone", r"(?<![\w+])\+\d(?:(?:[ ./-]|[ .-]?\(|\)[ .-]?)?\d){7,14}(?!\d)", phone),
+    ("phone", r"(?<![\w+])(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])", phone),
 ]
 NEEDED = re.compile(r"[0-9@]|(?i:token|secret|passw|key)")
 
@@ -255,11 +259,83 @@ def compiled() -> re.Pattern[str]:
     return re.compile("|".join(parts))
 
 
+# Length of an account number by country.
+IBAN_LENGTHS = {c: n for n, codes in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for c in codes.split()}
+USUAL_CARD = re.compile(r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{1,3})?|\d{4}([ -])\d{6}\2\d{4,5}")
+
+
+SOME_DIGIT = frozenset(DIGITS)
+
+
+def card_ends(text: str, start: int, end: int) -> list[int]:
+    """Ends of digit runs at which 13 to 19 digits are read: usual groupings first, then the longest."""
+    ends = [i for i in range(end, start, -1) if text[i - 1] in DIGITS and text[i : i + 1] not in SOME_DIGIT
+            and len(digits_of(text[start:i])) >= 13]
+    return sorted(ends, key=lambda i: USUAL_CARD.fullmatch(text, start, i) is None)
+
+
+def readings(name: str, text: str, m: re.Match[str]) -> list[int]:
+    """Where the candidate may end, the likeliest first."""
+    start, end = m.span()
+    if name == "card":
+        return card_ends(text, start, end)
+    if name == "iban":
+        held = [i for i in range(end, start, -1) if text[i - 1] != " " and not text[i : i + 1].isalnum()]
+        own = IBAN_LENGTHS.get(text[start : start + 2])
+        return sorted(held, key=lambda i: len(text[start:i].replace(" ", "")) != own)
+    if name == "phone" and text[start : start + 2] == "+1":
+        held = [i for i in range(end, start, -1) if text[i - 1] in DIGITS and text[i : i + 1] not in SOME_DIGIT]
+        return sorted({end, *(i for i in held if len(digits_of(text[start:i])) == 11)})
+    return [end]
+
+
+def card_inside(text: str, start: int, end: int, f: Feistel) -> bool:
+    """Whether a card in a usual grouping starts at a later digit run of the candidate."""
+    for i in range(start + 1, end):
+        if text[i] in SOME_DIGIT and text[i - 1] not in SOME_DIGIT:
+            later = CARD.match(text, i)
+            if later and any(USUAL_CARD.fullmatch(text, i, e) and card(text[i:e], f) for e in card_ends(text, i, later.end())):
+                return True
+    return False
+
+
+CARD = re.compile(next(p for n, p, _ in KINDS if n == "card"))
+
+
+def rewrite(text: str, pattern: re.Pattern[str], kinds: list[re.Pattern[str]], f: Feistel) -> tuple[str, list[str]]:
+    """``text`` with pseudonyms, and the kinds of what was replaced.  Where a candidate fails its check, its
+    shorter readings are tried, then the other kinds that start there, then what starts later."""
+    out, found, done, at = [], [], 0, 0
+    while (m := pattern.search(text, at)) is not None:
+        start, at = m.start(), m.start() + 1
+        new = None
+        for i in range(int(m.lastgroup[1:]), len(KINDS)):
+            name, _, rule = KINDS[i]
+            if (own := kinds[i].match(text, start)) is None:
+                continue
+            for end in readings(name, text, own):
+                new = rule(text[start:end], f)
+                if new is not None and name == "card" and not USUAL_CARD.fullmatch(text, start, end) and card_inside(text, start, end, f):
+                    new = None
+                if new is not None:
+                    break
+            if new is not None:
+                out += [text[done:start], new]
+                found.append(name)
+                done = at = end
+                break
+    return "".join([*out, text[done:]]), found
+
+
 def pseudonymise(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Input columns with ``text`` rewritten, and ``n_replaced long, kinds array<string>``.
 
     ``kinds`` names the kind of each replaced value in text order.  A value that fails
-    its check (calendar, check digit, number plan) is left alone.  The same key gives the
+    its check (calendar, check digit, number plan) in every reading is left alone.  The same key gives the
     same pseudonyms in every run and document.  Null text stays null with no replacement;
     empty text stays empty; repeated rows come out alike; an input column named as an
     output gives way.  No shuffle; a text without digit, ``@`` or secret's name is passed
@@ -271,20 +347,12 @@ def pseudonymise(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     @F.pandas_udf(f"`{text}` string, n_replaced long, kinds array<string>")
     def rewritten(column: pd.Series) -> pd.DataFrame:
         pattern, feistel = compiled(), Feistel(secret_key)
+        single = [re.compile(p) for _, p, _ in KINDS]
         texts, numbers, kinds = [], [], []
         for value in column:
             found: list[str] = []
-
-            def swap(m: re.Match[str], found: list[str] = found) -> str:
-                name, _, rule = KINDS[int(m.lastgroup[1:])]
-                new = rule(m[0], feistel)
-                if new is None:
-                    return m[0]
-                found.append(name)
-                return new
-
             if value is not None and NEEDED.search(value):
-                value = pattern.sub(swap, value)
+                value, found = rewrite(value, pattern, single, feistel)
             texts.append(value)
             numbers.append(len(found))
             kinds.append(found)
