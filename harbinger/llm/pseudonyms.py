@@ -29,9 +29,15 @@ class Feistel:
     def __init__(self, key: bytes, rounds: int = 8):
         self.key, self.rounds = hashlib.blake2b(key, digest_size=32).digest(), rounds
 
-    def _round(self, tweak: bytes, i: int, half: int) -> int:
-        data = b"%d|%d|%s" % (i, half, tweak)
-        return int.from_bytes(hashlib.blake2b(data, key=self.key, digest_size=32).digest(), "big")
+    def _round(self, tweak: bytes, i: int, half: int, bits: int) -> int:
+        """A number of at least 128 bits more than the half of ``bits`` that it is added to."""
+        if bits <= 128:
+            data = b"%d|%d|%s" % (i, half, tweak)
+            return int.from_bytes(hashlib.blake2b(data, key=self.key, digest_size=32).digest(), "big")
+        data = b"%d|%x|%s" % (i, half, tweak)  # decimal digits of so wide a half would be slow, and limited
+        seed = hashlib.blake2b(data, key=self.key, digest_size=64).digest()
+        blocks = [hashlib.blake2b(b"%d" % n, key=seed, digest_size=64).digest() for n in range((bits + 128) // 512 + 1)]
+        return int.from_bytes(b"".join(blocks), "big")
 
     def permute(self, value: int, size: int, tweak: bytes) -> int:
         if not 0 <= value < size:
@@ -40,12 +46,13 @@ class Feistel:
             return value
         a = isqrt(size - 1) + 1
         b = -(-size // a)
+        bits = a.bit_length()
         x = value
         while True:
             left, right = divmod(x, b)
             for i in range(0, self.rounds, 2):
-                left = (left + self._round(tweak, i, right)) % a
-                right = (right + self._round(tweak, i + 1, left)) % b
+                left = (left + self._round(tweak, i, right, bits)) % a
+                right = (right + self._round(tweak, i + 1, left, bits)) % b
             x = left * b + right
             if x < size:
                 return x

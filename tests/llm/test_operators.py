@@ -305,3 +305,16 @@ def test_shorter_and_later_readings_of_personal_data(spark):
             assert part not in r.text, (c, r.text)
     alone, beside = (r.text for r in pseudonyms.pseudonymise(table(spark, ["4111 1111 1111 1111", "4111 1111 1111 1111 12/26"]), "k").orderBy("doc_id").collect())
     assert beside == alone + " 12/26"
+
+
+def test_long_values_change_in_every_part():
+    f, rng = pseudonyms.Feistel(b"k"), random.Random(8)
+    for n in (60, 160, 256, 1000, 12_000):
+        for chars, rule in (("0123456789abcdef", pseudonyms.secret), ("abcXYZ0189+/", pseudonyms.secret), ("abcdefgh.1", pseudonyms.email)):
+            value = "a" + "".join(rng.choice(chars) for _ in range(n - 2)) + "a"
+            whole, other = ("token=" + value, "token=" + value[:-1] + "b") if rule is pseudonyms.secret else (value + "@x.org", value[:-1] + "b@x.org")
+            one, two = rule(whole, f), rule(other, f)
+            assert len(one) == len(whole) and one == rule(whole, f)
+            start = whole.index(value)
+            for at in range(start, start + n - 14, 14):  # also where just the last character differs
+                assert whole[at : at + 14] != one[at : at + 14] != two[at : at + 14], (n, at)
