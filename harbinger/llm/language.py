@@ -24,10 +24,15 @@ PLANE = 0x10000
 
 @dataclass
 class Automaton:
-    """``codes`` maps code points to symbols, ``step[state, symbol]`` is the next state or 0."""
+    """``codes`` maps code points to symbols.  Transitions lie in one row, each state's at its own offset
+    in gaps of the others': slot ``base[state] + symbol`` holds ``target`` if its ``owner`` is the state.
+    ``start`` holds those of the first state by symbol, 0 where there is none."""
 
     codes: np.ndarray
-    step: np.ndarray
+    base: np.ndarray
+    owner: np.ndarray
+    target: np.ndarray
+    start: np.ndarray
 
 
 def symbols_of(text: str) -> np.ndarray:
@@ -70,6 +75,34 @@ def suffix_automaton(sequence: list[int]) -> list[dict[int, int]]:
     return moves
 
 
+def laid_out(moves: list[dict[int, int]], alphabet: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``base``, ``owner`` and ``target``: states of many transitions choose their offset first, those of
+    one fill the gaps, so there is hardly a slot more than transitions."""
+    room = alphabet * (len(moves) + 2)
+    used, base, owner, target = bytearray(room), [0] * len(moves), {}, {}
+    filling = False
+    low = alphabet  # the gap to begin at; below it states of several transitions hardly fit
+    for state in sorted((s for s, out in enumerate(moves) if out), key=lambda s: -len(moves[s])):
+        first, *others = sorted(moves[state])
+        if not others and low > alphabet and not filling:
+            low, filling = alphabet, True
+        at, tried = used.find(0, low), 0
+        low = at
+        while any(used[at - first + x] for x in others):
+            at, tried = used.find(0, at + 1), tried + 1
+        if tried > 200:
+            low += 1
+        base[state] = at - first
+        for symbol, to in moves[state].items():
+            slot = base[state] + symbol
+            used[slot], owner[slot], target[slot] = 1, state, to
+    size = max(base) + alphabet
+    flat = [np.zeros(size, dtype=np.int32) for _ in range(2)]
+    for held, row in zip((owner, target), flat, strict=True):
+        row[list(held.keys())] = list(held.values())
+    return np.array(base, dtype=np.int32), flat[0], flat[1]
+
+
 def learn_automaton(text: str, alphabet: int) -> Automaton:
     """The most frequent code points get symbols of their own, all further ones share one, and
     those the language never shows share another, which nothing accepts."""
@@ -79,24 +112,21 @@ def learn_automaton(text: str, alphabet: int) -> Automaton:
     for i, p in enumerate(common):
         codes[min(p, PLANE)] = min(i, alphabet - 2)
     moves = suffix_automaton(codes[np.minimum(points, PLANE)].tolist())
-    step = np.zeros((len(moves), alphabet), dtype=np.int32)
-    for state, out in enumerate(moves):
-        for symbol, target in out.items():
-            step[state, symbol] = target
-    return Automaton(codes, step)
+    start = np.array([moves[1].get(symbol, 0) for symbol in range(alphabet)], dtype=np.int32)
+    return Automaton(codes, *laid_out(moves, alphabet), start)
 
 
 def phrases(lanes: np.ndarray, sizes: np.ndarray, model: Automaton) -> np.ndarray:
     """Phrases that each lane needs; ``lanes[i]`` holds the i-th symbol of every lane, longest lane
     first.  A symbol that the language never shows is a phrase by itself."""
-    step, start = model.step.ravel(), model.step[1]
-    width = model.step.shape[1]
+    base, owner, target, start = model.base, model.owner, model.target, model.start
     state = np.ones(lanes.shape[1], dtype=np.int64)
     count = np.zeros(lanes.shape[1], dtype=np.int64)
     open_lanes = np.searchsorted(-sizes, -np.arange(lanes.shape[0]), side="left")
     for i, n in enumerate(open_lanes):
         symbol = model.codes[lanes[i, :n]]
-        on = step[state[:n] * width + symbol]
+        slot = base[state[:n]] + symbol
+        on = np.where(owner[slot] == state[:n], target[slot], 0)
         cut = on == 0
         if cut.any():
             count[:n] += cut & (state[:n] != 1)
@@ -147,18 +177,19 @@ def parse(texts: list[str | None], models: list[Automaton], lane: int = 512, wid
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", pieces: int = 150,
-          piece: int = 300, table_mb: int = 64, alphabet: int = 64) -> dict[str, Automaton]:
+          piece: int = 300, alphabet: int = 64) -> dict[str, Automaton]:
     """One automaton per label from a bounded sample of the labelled rows.
 
-    Rows are counted per label, and those with the smallest hashes of their text are
-    taken: about ``pieces`` different texts per label, of each a stretch of ``piece``
-    characters at a hashed place.  ``table_mb`` bounds the tables of all labels together,
-    so many labels get shorter stretches.  Null texts and labels teach nothing.
+    Different texts are counted per label, and those with the smallest hashes are taken:
+    ``pieces`` texts per label (all where there are fewer), however often each is
+    repeated, of each a stretch of ``piece`` characters at a hashed place.  A label's
+    table is bounded by its stretches, whatever the number of labels.  Null texts and
+    labels teach nothing.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h")
     )
-    totals = {r.lang: r["count"] for r in rows.groupBy("lang").count().toLocalIterator()}
+    totals = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count_distinct("h").alias("n")).toLocalIterator()}
     if not totals:
         return {}
     share = F.create_map(*[F.lit(x) for name, n in sorted(totals.items()) for x in (name, 2.0 * pieces / n)])
@@ -171,11 +202,10 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", pieces: i
     taken: dict[str, list[tuple[int, str]]] = {}
     for row in sample.toLocalIterator():
         taken.setdefault(row.lang, []).append((row.h % 1_000_000, row.text))
-    most = table_mb * 1_000_000 // (len(taken) * alphabet * 4 * 2)
     models = {}
     for name in sorted(taken):
         picked = [x for _, x in sorted(taken[name])[:pieces]]
-        models[name] = learn_automaton(" ".join(picked)[: max(most, 200)], alphabet)
+        models[name] = learn_automaton(" ".join(picked), alphabet)
     return models
 
 

@@ -318,3 +318,25 @@ def test_long_values_change_in_every_part():
             start = whole.index(value)
             for at in range(start, start + n - 14, 14):  # also where just the last character differs
                 assert whole[at : at + 14] != one[at : at + 14] != two[at : at + 14], (n, at)
+
+
+def test_languages_of_copies_are_learned(spark):
+    rng = random.Random(9)
+    tongue = lambda chars: " ".join("".join(rng.choice(chars) for _ in range(5)) for _ in range(60))
+    names = {"aa": "abcde", "bb": "fghij", "cc": "klmno"}
+    rows = [(n, tongue(c)) for n, c in names.items() for _ in range(2)]
+    docs = spark.createDataFrame(rows, "lang string, text string").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(20_000))))
+    learned = language.learn(docs.drop("copy"))
+    assert sorted(learned) == sorted(names)
+    asked = table(spark, [tongue(c) for c in names.values()])
+    assert [r.lang_pred for r in language.identify(asked, learned).orderBy("doc_id").collect()] == sorted(names)
+
+
+def test_many_labels_keep_their_whole_stretches(spark):
+    rng = random.Random(10)
+    docs = [(f"l{k:02d}", " ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(200))[:300]) for k in range(40) for _ in range(20)]
+    learned = language.learn(spark.createDataFrame(docs, "lang string, text string"))
+    whole = {k: language.parse([t for n, t in docs if n == k], [learned[k]]).ravel() for k in ("l00", "l39")}
+    for k, rate in whole.items():  # a learned text is one phrase
+        assert (rate * 300 < 2.5).all(), (k, rate)
+    assert max(len(m.owner) for m in learned.values()) < 4 * 20 * 301
