@@ -1,8 +1,8 @@
 """Benchmark decontamination by SimHash windows, in DataFrame operations only.
 
 Windows as long as a benchmark item are laid over a document wherever both share five
-words in a row: without a shared shingle no window can be similar.  A window's SimHash
-then meets the items' by a multi-index: 64 bits are cut into ``BLOCKS`` blocks, and
+words in a row, or all words of an item that has fewer: without a shared shingle no
+window can be similar.  A window's SimHash then meets the items' by a multi-index: 64 bits are cut into ``BLOCKS`` blocks, and
 fingerprints within ``RADIUS`` bits agree in at least one block up to ``NEAR`` bits
 (if all blocks differed by more, the sum would be over the radius).  The items' side lists
 all block values within ``NEAR`` bits, so an equality join finds every such pair.  Those
@@ -40,11 +40,11 @@ def shingles(of: Column) -> Column:
     )
 
 
-def shingle_hashes(of: Column) -> Column:
-    """64-bit hashes of the shingles at their places."""
-    last = F.greatest(F.size(of) - SHINGLE, F.lit(0))
+def shingle_hashes(of: Column, length: int = SHINGLE) -> Column:
+    """64-bit hashes of ``length`` words at their places; a shorter list of words has one, of all of them."""
+    last = F.greatest(F.size(of) - length, F.lit(0))
     return F.transform(
-        F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(of, i + k) for k in range(SHINGLE)])
+        F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(of, i + k) for k in range(length)])
     )
 
 
@@ -109,7 +109,8 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = 0.8, text: str =
     reaches ``threshold``, ``at`` being its first word and ``distance`` the bits its fingerprint differs.
 
     Documents are read whole; null and empty texts match nothing, nor does an item
-    without a word.  Rows of one key with other text are looked at each by itself, and
+    without a word.  An item of fewer than ``SHINGLE`` words is found where all of them
+    stand in a row, so an item of one common word is found in many documents.  Rows of one key with other text are looked at each by itself, and
     repeated rows give one result.  A null key stays null.  Other columns of either table
     are not looked at.  Empty tables give no rows.
 
@@ -131,6 +132,9 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = 0.8, text: str =
     dealt = places.withColumn("_round", F.pmod(F.hash("h"), F.lit(2 * rounds)))
     split = docs.select(F.col(key).alias("key"), words(F.col(text)).alias("w")).where("size(w) > 0")
     laid = split.select("key", "w", F.posexplode(shingle_hashes(F.col("w"))).alias("p", "h"))
+    for r in known.where(F.col("n") < SHINGLE).select("n").distinct().collect():
+        longer = split.where(F.size("w") > r.n)
+        laid = laid.unionByName(longer.select("key", "w", F.posexplode(shingle_hashes(F.col("w"), r.n)).alias("p", "h")))
     parts = []
     for i in range(2 * rounds if rounds > 1 else 1):
         block = dealt.where(F.col("_round") == i) if rounds > 1 else dealt
@@ -139,7 +143,7 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = 0.8, text: str =
     hits = reduce(DataFrame.unionByName, parts).select(
         "key", first.alias("at"), "n", F.array_join(F.slice("w", first + 1, F.col("n")), " ").alias("window")
     )
-    seen = cut_lineage(hits.distinct())
+    seen = cut_lineage(hits.groupBy("key", "n", "window").agg(F.min("at").alias("at")))
     windows = cut_lineage(
         seen.select("n", "window").distinct()
         .withColumn("shingles", F.array_distinct(shingles(F.split("window", " "))))

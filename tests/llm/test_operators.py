@@ -340,3 +340,19 @@ def test_many_labels_keep_their_whole_stretches(spark):
     for k, rate in whole.items():  # a learned text is one phrase
         assert (rate * 300 < 2.5).all(), (k, rate)
     assert max(len(m.owner) for m in learned.values()) < 4 * 20 * 301
+
+
+def test_items_shorter_than_a_shingle(spark):
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(n)) for n in (1, 2, 3, 4, 5, 6, 9, 14, 20, 30)] + ["前文。日本の首都は、どこ?後文 と 続く 文"]
+    asked = ["a", "c b", "e f g", "h a b", "a b c d", texts[7][4:11], "日本の首都は、どこ?", "zz", "g"]
+    split = lambda t: re.findall(r"\w+", t)
+    want = {}
+    for i, d in enumerate(map(split, texts)):
+        for j, q in enumerate(map(split, asked)):
+            places = [p for p in range(len(d) - len(q) + 1) if d[p : p + len(q)] == q]
+            if places:
+                want[i, j] = (1.0, places[0], len(q))
+    items = spark.createDataFrame(list(enumerate(asked)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, r["at"], r.n_words) for r in decontaminate.find(table(spark, texts), items).collect()}
+    assert got == want and {n for *_, n in want.values()} >= {1, 2, 4}
