@@ -125,3 +125,44 @@ least AS (SELECT a, min(b) AS m FROM reach GROUP BY a),
 counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT doc_id, least(doc_id, coalesce(m, doc_id)) AS class_id, coalesce(n, 0) AS n_links
 FROM documents LEFT JOIN least ON least.a = doc_id LEFT JOIN counted ON counted.a = doc_id"""
+
+
+def lloyd_check(rounds: int = 6, parts: int = 8, entries: int = 16) -> str:
+    """Plain rounds over every part and entry, in integers."""
+    nearest = (
+        "SELECT p.id, p.part, arg_min(b.entry, (d.gap, b.entry)) AS entry, min(d.gap) AS gap FROM pieces p "
+        "JOIN book{k} b ON b.part = p.part, LATERAL (SELECT list_sum(list_transform(range(1, len(p.x) + 1), "
+        "lambda j: (p.x[j] - b.x[j]) * (p.x[j] - b.x[j]))) AS gap) d GROUP BY p.id, p.part"
+    )
+    steps = [
+        f"""WITH kept AS (
+          SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 4096) AS BIGINT)) AS v,
+                 row_number() OVER (ORDER BY vec_id) AS id
+          FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), pieces AS (
+          SELECT id, CAST(part AS BIGINT) AS part, v[part * (len(v) // {parts}) + 1 : (part + 1) * (len(v) // {parts})] AS x
+          FROM kept, range({parts}) r(part)
+        ), book0 AS (SELECT part, id - 1 AS entry, x FROM pieces WHERE id <= {entries})"""
+    ]
+    for k in range(rounds):
+        steps.append(
+            f"""near{k} AS MATERIALIZED ({nearest.format(k=k)}), parts{k} AS (
+              SELECT n.part, n.entry, j, sum(p.x[j]) AS s, count(*) AS n FROM near{k} n JOIN pieces p USING (id, part),
+                     range(1, 1 + (SELECT max(len(x)) FROM pieces)) r(j) GROUP BY n.part, n.entry, j
+            ), means{k} AS (
+              SELECT part, entry, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS x FROM parts{k} GROUP BY part, entry
+            ), book{k + 1} AS MATERIALIZED (
+              SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM book{k} b LEFT JOIN means{k} m USING (part, entry)
+            )"""
+        )
+    steps.append(
+        f"""last AS ({nearest.format(k=rounds)}), coded AS (
+          SELECT k.vec_id, k.label, string_agg(printf('%02x', l.entry), '' ORDER BY l.part) AS code, CAST(sum(l.gap) AS BIGINT) AS error
+          FROM last l JOIN kept k USING (id) GROUP BY l.id, k.vec_id, k.label
+        ), hashed AS (
+          SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS h FROM book{rounds}
+        )
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+        FROM coded, hashed"""
+    )
+    return ",\n".join(steps)

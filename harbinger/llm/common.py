@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harbinger.session import shared_folder
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -19,6 +23,13 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set(name, str(rows))
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table of the shared folder, smaller than a checkpoint and as safe."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fold(key: str, folds: int, kept: int) -> Column:
     """True where crc32 of the key as text leaves ``kept`` (a null key counts as empty text)."""
     text = F.coalesce(F.col(key).cast("string"), F.lit(""))

@@ -16,9 +16,12 @@ from harbinger.llm import (
     language,
     licenses,
     mixing,
+    neighbour_graph,
     pseudonyms,
     suffix_lm,
+    token_alignment,
     toxicity,
+    vector_codes,
 )
 from harbinger.llm.common import documents, fold
 
@@ -108,3 +111,19 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_compression_bands")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.judge(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+
+
+@query("op11_descent_search")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return neighbour_graph.nearest(vectors, F.expr("vec_id % 50 = 0"))
+
+
+@query("op12_token_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(documents(spark, sf_dir))[0]
+
+
+@query("op13_dual_tree_codes", checks.lloyd_check())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
