@@ -93,6 +93,28 @@ def connected_components(nodes: DataFrame, edges: DataFrame, keys: list[str]) ->
             return labels
 
 
+def core_distances(snapshots: DataFrame, k: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Distinct points ``model, coords, node, born`` and ``model, at, node, core``: the distance to the
+    ``k``-th article of the snapshot, the node itself included; null where there are fewer."""
+    points = snapshots.where(F.col("at") == F.col("first_at")).select("model", "article_id", "coords", "first_at")
+    heads = points.groupBy("model", "coords").agg(F.min("article_id").alias("node"), F.min("first_at").alias("born"))
+    last = snapshots.agg(F.max("at")).scalar()
+    weighted = (
+        points.join(heads, ["model", "coords"])
+        .groupBy("model", F.col("node").alias("article_id"), "coords", F.col("first_at").alias("since"))
+        .agg(F.count("*").alias("mult"))
+        .withColumn("until", last)
+    )
+    asked = heads.withColumn("at", F.explode(F.sequence(F.col("born"), last))).select(
+        "model", F.col("node").alias("article_id"), "at", "coords"
+    )
+    found = cut_lineage(nearest(asked, weighted, k, block))
+    core = found.groupBy("model", "at", F.col("article_id").alias("node")).agg(
+        F.when(F.sum("take") >= k, F.max("distance")).alias("core")
+    )
+    return heads, core
+
+
 def density_clusters(snapshots: DataFrame, min_cluster_size: int = 5, min_samples: int = 5,
                      epsilon: float | None = None, quantile: float = 0.5, block: int = BLOCK) -> DataFrame:
     """``cluster_id`` (-1 = noise) and ``outlier_score`` of every article in every snapshot.
@@ -108,22 +130,7 @@ def density_clusters(snapshots: DataFrame, min_cluster_size: int = 5, min_sample
     ``snapshots``: model, at, article_id, first_at, coords.
     """
     keys = ["model", "at"]
-    points = snapshots.where(F.col("at") == F.col("first_at")).select("model", "article_id", "coords", "first_at")
-    heads = points.groupBy("model", "coords").agg(F.min("article_id").alias("node"), F.min("first_at").alias("born"))
-    last = snapshots.agg(F.max("at")).scalar()
-    weighted = (
-        points.join(heads, ["model", "coords"])
-        .groupBy("model", F.col("node").alias("article_id"), "coords", F.col("first_at").alias("since"))
-        .agg(F.count("*").alias("mult"))
-        .withColumn("until", last)
-    )
-    asked = heads.withColumn("at", F.explode(F.sequence(F.col("born"), last))).select(
-        "model", F.col("node").alias("article_id"), "at", "coords"
-    )
-    found = cut_lineage(nearest(asked, weighted, min_samples, block))
-    core = found.groupBy(*keys, F.col("article_id").alias("node")).agg(
-        F.when(F.sum("take") >= min_samples, F.max("distance")).alias("core")
-    )
+    heads, core = core_distances(snapshots, min_samples, block)
     if epsilon is None:
         ranked = running_counts(core, keys, "core").where(F.col("cum") >= F.ceil(F.col("total") * quantile))
         cut = ranked.groupBy(*keys).agg(F.min("core").alias("eps"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from harbinger.functions.columns import r6
+from harbinger.operators import hierarchy as H
 from harbinger.operators import topics as T
 from harbinger.plans import inputs
 from harbinger.plans.catalog import register
@@ -88,6 +89,45 @@ def density_partition(spark, sf_dir):
     return out.select("model", "article_id", "cluster_id")
 
 
+def flat(spark, sf_dir):
+    """All articles as one snapshot of two dimensions."""
+    rows = inputs.vectors(spark, sf_dir).withColumn("coords", F.slice("coords", 1, 2))
+    return rows.withColumns({"at": F.lit(1), "first_at": F.lit(1)})
+
+
+@register("hierarchical_clusters")
+def hierarchical_clusters(spark, sf_dir):
+    out = H.hierarchical_clusters(T.cumulative_snapshots(articles(spark, sf_dir)).join(inputs.vectors(spark, sf_dir), "article_id"))
+    return out.select("model", "at", "article_id", "cluster_id", r6("outlier_score").alias("outlier_score"))
+
+
+# single linkage at one height, from all pairs: the tree's edges up to it leave the same components
+@register(
+    "single_linkage_cut",
+    sql(
+        f""", p AS (SELECT model, article_id, coords[1] AS x, coords[2] AS y FROM vectors),
+        d AS (SELECT a.model, a.article_id AS a, b.article_id AS b, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist
+            FROM p a JOIN p b ON a.model = b.model),
+        m AS (SELECT model, a, dist AS core FROM (SELECT model, a, dist, row_number() OVER (PARTITION BY model, a ORDER BY dist) AS k FROM d)
+            WHERE k = 6),
+        e AS (SELECT d.model, d.a, d.b FROM d JOIN m u ON u.model = d.model AND u.a = d.a
+            JOIN m v ON v.model = d.model AND v.a = d.b WHERE greatest(d.dist, u.core, v.core) <= {RADIUS}),
+        r AS (SELECT model, a AS node, a AS root FROM m
+            UNION SELECT r.model, e.b, r.root FROM r JOIN e ON e.model = r.model AND e.a = r.node)
+        SELECT model, node AS article_id, min(root) AS label FROM r GROUP BY model, node""",
+        "vectors",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def single_linkage_cut(spark, sf_dir):
+    rows = flat(spark, sf_dir)
+    heads, core = T.core_distances(rows, 6)
+    points = core.join(heads.select("model", "node", "coords"), ["model", "node"])
+    forest = H.spanning_forest(points)
+    parts = H.components(points.select("model", "at", "node"), forest.where(F.col("w") <= RADIUS))
+    copies = rows.join(heads.select("model", "coords", "node"), ["model", "coords"])
+    return copies.join(parts, ["model", "at", "node"]).select("model", "article_id", "label")
+
+
 @register(
     "connected_components",
     """WITH RECURSIVE e AS (SELECT DISTINCT lang, doc_id AS a, prev AS b FROM (

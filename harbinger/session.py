@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +50,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stage(df: DataFrame) -> DataFrame:
+    """The rows as a table of the shared folder, as safe as a checkpoint and smaller.
+
+    A checkpoint also carries over what the optimizer has inferred about its columns.  In loops that
+    join their own results these inferences multiply until planning takes longer than the work; a table has none.
+    """
+    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Cache a frame that several fits read; lost blocks are recomputed from lineage."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
