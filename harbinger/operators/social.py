@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from harbinger.functions.columns import as_col, nan_to_null
 from harbinger.functions.keyed import exact_median
-from harbinger.session import cut_lineage
+from harbinger.session import cut_lineage, stage
 
 METRICS = {
     "followers_count": "soc_median_user_public_metrics_followers_count",
@@ -164,61 +164,74 @@ def ego_edges(cuts: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.where(F.col("weight") > 0).select("article_id", "cut", F.col("b").alias("neighbour"), "weight")
 
 
-def heaviest(graph: DataFrame) -> DataFrame:
-    """Largest edge weight of the whole graph at each cut-off."""
-    return graph.groupBy("cut").agg(F.max("weight").alias("max_weight"))
+def heaviest(cuts: DataFrame, edges: DataFrame) -> DataFrame:
+    """Largest edge weight of the whole graph at each cut-off: cut, max_weight; null before the first edge.
 
+    An edge's weight only grows, so it is a step function of its history and the answer is a running
+    maximum over all steps: within a day, and over the days before it.
+    """
+    steps = F.transform(
+        F.sequence(F.lit(1), F.size("hist")),
+        lambda i: F.struct(
+            F.element_at("hist", i).getField("step").alias("cut"),
+            F.aggregate(F.slice("hist", 1, i), F.lit(0).cast("bigint"), lambda acc, h: acc + h.getField("c")).alias("w"),
+        ),
+    )
+    grown = edges.select(F.explode(steps).alias("s")).select("s.cut", "s.w")
+    asked = cuts.where(F.col("cut").isNotNull()).select("cut", F.lit(None).cast("bigint").alias("w"))
+    each = grown.unionByName(asked).groupBy("cut").agg(F.max("w").alias("w")).withColumn("day", F.to_date("cut"))
+    inside = Window.partitionBy("day").orderBy("cut").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)  # one row per calendar day
+    days = each.groupBy("day").agg(F.max("w").alias("w")).select("day", F.max("w").over(earlier).alias("before"))
+    joined = each.withColumn("w", F.max("w").over(inside)).join(days, "day")
+    return joined.select("cut", F.greatest("w", "before").alias("max_weight"))
 
-def triangles(edges: DataFrame) -> DataFrame:
-    """Triangles ``t, x, y`` of the final graph, once each.
+
+def triangles(edges: DataFrame, block: int = USER_BLOCK) -> DataFrame:
+    """Triangles ``t, x, y`` of the final graph, once each, with the histories of their sides.
 
     Edges point from the end with fewer neighbours to the one with more, so a vertex
-    starts at most sqrt(2 * edges) of them and hubs start few.
+    starts at most sqrt(2 * edges) of them and hubs start few.  The arrows of a vertex are split in
+    parts of about ``block``, and every two parts meet under a key of their own.
     """
     ends = edges.select("a", "b")
     degree = ends.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("deg"))
-    ranked = ends.join(degree.select(F.col("v").alias("a"), F.col("deg").alias("da")), "a").join(
+    ranked = edges.join(degree.select(F.col("v").alias("a"), F.col("deg").alias("da")), "a").join(
         degree.select(F.col("v").alias("b"), F.col("deg").alias("db")), "b"
     )
     forward = F.col("da") <= F.col("db")
-    arrows = ranked.select(
+    arrows = stage(ranked.select(
         F.when(forward, F.col("a")).otherwise(F.col("b")).alias("t"),
         F.when(forward, F.col("b")).otherwise(F.col("a")).alias("h"),
-    )
-    wedges = (
-        arrows.withColumnRenamed("h", "x").join(arrows.withColumnRenamed("h", "y"), "t").where(F.col("x") < F.col("y"))
-    )
-    return wedges.join(ends.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"])
-
-
-def weighted_clustering(ego: DataFrame, edges: DataFrame, graph: DataFrame, top: DataFrame) -> DataFrame:
+        "hist",
+    ))
+    sizes = arrows.groupBy("t").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    placed = arrows.drop("hist").join(sizes.where("parts > 1"), "t", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    left = placed.select("t", F.col("h").alias("x"), F.col("part").alias("i"), other.alias("j"))
+    right = placed.select("t", F.col("h").alias("y"), F.col("part").alias("j"), other.alias("i"))
+    wedges = left.join(right, ["t", "i", "j"]).where(F.col("x") < F.col("y")).select("t", "x", "y")
+    closed = wedges.join(edges.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("hist").alias("hxy")), ["x", "y"])
+    side = arrows.select("t", F.col("h").alias("x"), F.col("hist").alias("htx"))
+    return closed.join(side, ["t", "x"]).join(side.withColumnRenamed("x", "y").withColumnRenamed("htx", "hty"), ["t", "y"])
+
+
+def weighted_clustering(ego: DataFrame, edges: DataFrame, top: DataFrame) -> DataFrame:
     """Geometric-mean weighted clustering of each article as of its cut-off; an article
     with fewer than two neighbours has 0.
 
-    ``graph`` is the graph at the cut-offs (``graph_at``), ``top`` its heaviest weights.
-    Each corner of a triangle is weighed at its own cut-off by equi-joins; a corner
-    whose triangle is not closed yet finds no partner and goes.
+    ``top`` is the heaviest weight at each cut-off (``heaviest``).  A triangle closes at the latest first
+    step of its sides; a corner with an earlier cut-off does not see it.  Its sides are weighed
+    from their histories at the corner's own cut-off, so no graph is laid out per cut-off.
     """
-    corners = triangles(edges).select(
-        F.explode(
-            F.array(
-                F.struct(F.col("t").alias("article_id"), F.col("x").alias("p"), F.col("y").alias("q")),
-                F.struct(F.col("x").alias("article_id"), F.col("t").alias("p"), F.col("y").alias("q")),
-                F.struct(F.col("y").alias("article_id"), F.col("t").alias("p"), F.col("x").alias("q")),
-            )
-        ).alias("c")
-    ).select("c.*")
-    up = ego.select("article_id", "cut", F.col("neighbour").alias("p"), F.col("weight").alias("wp"))
-    uq = ego.select("article_id", F.col("neighbour").alias("q"), F.col("weight").alias("wq"))
-    far = graph.select("cut", F.col("a").alias("p"), F.col("b").alias("q"), F.col("weight").alias("wf"))
-    closed = (
-        corners.join(up, ["article_id", "p"])
-        .join(uq, ["article_id", "q"])
-        .join(far, ["cut", "p", "q"])
-        .groupBy("article_id")
-        .agg(F.sum(F.cbrt((F.col("wp") * F.col("wq") * F.col("wf")).cast("double"))).alias("closed"))
-    )
+    found = triangles(edges)
+    begin = [F.element_at(h, 1).getField("step") for h in ("htx", "hty", "hxy")]
+    corners = found.select(F.explode(F.array("t", "x", "y")).alias("article_id"), F.greatest(*begin).alias("closes"), "htx", "hty", "hxy")
     degrees = ego.groupBy("article_id", "cut").agg(F.count("*").alias("deg"))
+    seen = corners.join(degrees.where("deg >= 2").select("article_id", "cut"), "article_id").where(F.col("closes") <= F.col("cut"))
+    weights = [weight_at(h, "cut").cast("double") for h in ("htx", "hty", "hxy")]
+    closed = seen.groupBy("article_id").agg(F.sum(F.cbrt(weights[0] * weights[1] * weights[2])).alias("closed"))
     joined = degrees.join(closed, "article_id", "left").join(top, "cut", "left")
     deg = F.col("deg")
     value = F.when(
@@ -320,7 +333,7 @@ def social_features(articles: DataFrame, shares: DataFrame | None) -> DataFrame:
     frames = [
         unique_users(hist),
         user_medians(hist),
-        weighted_clustering(ego, edges, graph, heaviest(graph)),
+        weighted_clustering(ego, edges, heaviest(cuts, edges)),
         bridge_ratios(ego, parts),
         community_sizes(cuts, parts, graph_start(articles, shares)),
     ]

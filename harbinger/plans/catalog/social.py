@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from harbinger.functions.columns import r6
+from harbinger.operators import modularity as M
 from harbinger.operators import social as S
 from harbinger.plans import inputs
 from harbinger.plans.catalog import register
@@ -90,8 +91,7 @@ def share_projection(spark, sf_dir):
 def weighted_clustering(spark, sf_dir):
     articles, shares = both(spark, sf_dir)
     edges, cuts = S.share_graph(articles, shares), S.cutoffs(articles)
-    graph = S.cut_lineage(S.graph_at(cuts, edges))
-    out = S.weighted_clustering(S.cut_lineage(S.ego_edges(cuts, edges)), edges, graph, S.heaviest(graph))
+    out = S.weighted_clustering(S.stage(S.ego_edges(cuts, edges)), edges, S.heaviest(cuts, edges))
     return out.withColumn("media_weighted_clustering", r6("media_weighted_clustering"))
 
 
@@ -102,6 +102,52 @@ def share_communities(spark, sf_dir):
     return parts.withColumn("cut", F.date_format("cut", STAMP))
 
 
+@register("modularity_communities")
+def modularity_communities(spark, sf_dir):
+    articles, shares = both(spark, sf_dir)
+    parts = M.modularity_communities(S.graph_at(S.cutoffs(articles), S.share_graph(articles, shares)))
+    return parts.withColumn("cut", F.date_format("cut", STAMP))
+
+
+# no article would gain by moving to a neighbour's community, and no pair of communities by joining
+@register(
+    "modularity_faults",
+    sql(
+        """SELECT strftime(cut, '%Y-%m-%d %H:%M:%S') AS cut, count(DISTINCT l.a) AS n_articles, sum(l.w)::BIGINT AS weight,
+        0::BIGINT AS n_moves, 0::BIGINT AS n_joins, true AS above_one_community FROM links l GROUP BY cut""",
+        "links",
+    ),
+)
+def modularity_faults(spark, sf_dir):
+    """Gains in fractions of the whole weight, from the partition alone."""
+    articles, shares = both(spark, sf_dir)
+    graph = S.cut_lineage(S.graph_at(S.cutoffs(articles), S.share_graph(articles, shares)))
+    parts = S.cut_lineage(M.modularity_communities(graph))
+    one = parts.select("cut", F.col("article_id").alias("a"), F.col("community").alias("ca"))
+    two = parts.select("cut", F.col("article_id").alias("b"), F.col("community").alias("cb"))
+    ends = graph.join(one, ["cut", "a"]).join(two, ["cut", "b"])
+    total = graph.groupBy("cut").agg(F.sum("weight").alias("m2"), F.count_distinct("a").alias("n_articles"))
+    degree = graph.groupBy("cut", "a").agg(F.sum("weight").alias("k"))
+    held = degree.join(one, ["cut", "a"]).groupBy("cut", "ca").agg(F.sum("k").alias("s"))
+    other = held.select("cut", F.col("ca").alias("cb"), F.col("s").alias("t"))
+    inside = ends.where("ca = cb").groupBy("cut", "a").agg(F.sum("weight").alias("stay"))
+    to = ends.where("ca <> cb").groupBy("cut", "a", "ca", "cb").agg(F.sum("weight").alias("w")).join(inside, ["cut", "a"], "left")
+    to = to.join(degree, ["cut", "a"]).join(held, ["cut", "ca"]).join(other, ["cut", "cb"]).join(total, "cut")
+    gain = (F.col("w") - F.coalesce("stay", F.lit(0))) / F.col("m2") - F.col("k") * (F.col("t") - F.col("s") + F.col("k")) / F.col("m2") / F.col("m2")
+    moves = to.groupBy("cut").agg(F.count_if(gain > 1e-12).alias("n_moves"))
+    between = ends.where("ca <> cb").groupBy("cut", "ca", "cb").agg(F.sum("weight").alias("w")).join(held, ["cut", "ca"])
+    between = between.join(other, ["cut", "cb"]).join(total, "cut")
+    joins = between.groupBy("cut").agg(F.count_if(F.col("w") / F.col("m2") - F.col("s") * F.col("t") / F.col("m2") / F.col("m2") > 1e-12).alias("n_joins"))
+    kept = ends.groupBy("cut").agg(F.sum(F.when(F.col("ca") == F.col("cb"), F.col("weight")).otherwise(0)).alias("kept"))
+    square = held.groupBy("cut").agg(F.sum(F.col("s") * F.col("s")).alias("square"))
+    q = F.col("kept") / F.col("m2") - F.col("square") / F.col("m2") / F.col("m2")
+    out = total.join(moves, "cut", "left").join(joins, "cut", "left").join(kept, "cut").join(square, "cut")
+    return out.select(
+        F.date_format("cut", STAMP).alias("cut"), "n_articles", F.col("m2").alias("weight"), F.coalesce("n_moves", F.lit(0)).alias("n_moves"),
+        F.coalesce("n_joins", F.lit(0)).alias("n_joins"), (q >= -1e-12).alias("above_one_community"),
+    )
+
+
 @register(
     "bridge_ratios",
     sql(
