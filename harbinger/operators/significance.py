@@ -21,46 +21,47 @@ COMPARISONS = [
 ]
 
 
-def two_sided_t(t: float, df: int) -> float:
-    """Two-sided tail of Student's t by the continued fraction of the incomplete beta."""
-    if math.isinf(t):
-        return 0.0
-    x = df / (df + t * t)
-    a, b = df / 2.0, 0.5
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-
-    def fraction(x: float, a: float, b: float) -> float:
-        tiny = 1e-300
-        c, d = 1.0, 1.0 / max(abs(1.0 - (a + b) * x / (a + 1.0)), tiny) * math.copysign(1, 1.0 - (a + b) * x / (a + 1.0))
-        h = d
-        for m in range(1, 500):
-            even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-            odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-            for term in (even, odd):
-                d = 1.0 / ((1.0 + term * d) or tiny)
-                c = (1.0 + term / c) or tiny
-                h *= d * c
-            if abs(d * c - 1.0) < 1e-15:
-                break
-        return h
-
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * fraction(x, a, b) / a
-    return 1.0 - front * fraction(1.0 - x, b, a) / b
+LONGEST_SUM = 1000
+PANELS = 400
+
+
+def _finite_sum(t: Column, df: Column) -> Column:
+    """Probability within ``-t .. t`` for whole degrees of freedom: the angle (odd ones) and a finite sum of powers
+    of its cosine."""
+    angle = F.atan(F.abs(t) / F.sqrt(df))
+    cos2 = F.cos(angle) * F.cos(angle)
+    odd = df % 2
+    terms = F.floor((df - odd) / 2).cast("int")
+    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(1.0).alias("term"))
+
+    def add(acc: Column, i: Column) -> Column:
+        ratio = (2 * i - 1 + odd) / (2 * i + odd)
+        return F.struct((acc["sum"] + acc["term"]).alias("sum"), (acc["term"] * ratio * cos2).cast("double").alias("term"))
+
+    total = F.when(terms > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(terms, F.lit(1))), zero, add, lambda acc: acc["sum"])).otherwise(0.0)
+    return F.when(odd == 0, F.sin(angle) * total).otherwise(F.lit(2 / math.pi) * (angle + F.sin(angle) * F.cos(angle) * total))
+
+
+def _ratio_of_areas(t: Column, df: Column) -> Column:
+    """Two-sided tail as the area under a power of the cosine beyond the angle, by Simpson's rule, over the whole one."""
+    end, width = F.lit(math.pi / 2), 14 / F.sqrt(df)
+
+    def area(start: Column) -> Column:
+        step = (F.least(end, start + width) - start) / PANELS
+        value = lambda i: F.exp((df - 1) * F.ln(F.greatest(F.cos(start + i * step), F.lit(1e-300))))
+        weight = lambda i: F.when((i == 0) | (i == PANELS), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+        return F.aggregate(F.sequence(F.lit(0), F.lit(PANELS)), F.lit(0.0), lambda acc, i: acc + weight(i) * value(i)) * step / 3
+
+    return area(F.atan(F.abs(t) / F.sqrt(df))) / area(F.lit(0.0))
 
 
 def t_tail(t: Column, df: Column) -> Column:
-    """Two-sided p value.  Four degrees of freedom (five folds) have a closed form; other
-    rows, and there are only as many as tests, go through a small Python helper."""
-    s = t * t / 4
-    u = F.abs(t) / F.sqrt(1 + s)
-    closed = 1 - 2 * (F.lit(0.375) * u * (1 - u * u / 12))
-    tail = F.udf(lambda a, b: None if a is None or b is None else float(two_sided_t(a, int(b))), "double")
-    return F.when(df == 4, F.greatest(closed, F.lit(0.0))).otherwise(tail(t, df))
+    """Two-sided p value of Student's t for whole degrees of freedom: a finite sum up to LONGEST_SUM of them, a ratio of
+    areas beyond; null where either is null or there is no degree of freedom."""
+    df = df.cast("double")
+    inside = F.when(df <= LONGEST_SUM, 1 - _finite_sum(t, F.least(df, F.lit(float(LONGEST_SUM))))).otherwise(_ratio_of_areas(t, df))
+    value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), inside))
+    return F.when(t.isNotNull() & (df >= 1), F.when(F.abs(t) == float("inf"), 0.0).otherwise(value))
 
 
 def paired_scores(folds: DataFrame, comparisons: list[tuple[str, str]] | None = None) -> DataFrame:

@@ -162,6 +162,24 @@ def paired_tests(spark, sf_dir):
     )
 
 
+# the same tails from products written with the gamma function
+@register(
+    "t_tails",
+    """WITH d AS (SELECT doc_id, (doc_id % 97) / 16.0::DOUBLE AS t, 1 + doc_id % 30 AS v FROM documents),
+    a AS (SELECT *, atan(t / sqrt(v)) AS h FROM d),
+    s AS (SELECT doc_id, coalesce(sum(CASE WHEN v % 2 = 0
+          THEN exp(lgamma(j + 0.5) - lgamma(j + 1) - lgamma(0.5)) * power(cos(h), 2 * j)
+          ELSE exp(lgamma(j + 1) + lgamma(1.5) - lgamma(j + 1.5)) * power(cos(h), 2 * j + 1) END), 0) AS total
+        FROM a LEFT JOIN range(15) r(j) ON j < v // 2 GROUP BY doc_id)
+    SELECT doc_id, v AS df, round(greatest(0, 1 - CASE WHEN v % 2 = 0 THEN sin(h) * total ELSE 2 / pi() * (h + sin(h) * total) END), 6) + 0.0 AS p
+    FROM a JOIN s USING (doc_id)""",
+)
+def t_tails(spark, sf_dir):
+    """Tails at 1 to 30 degrees of freedom."""
+    doc = inputs.table(spark, sf_dir, "documents").select("doc_id", (1 + F.col("doc_id") % 30).alias("df"))
+    return doc.withColumn("p", r6(S.t_tail(F.col("doc_id") % 97 / F.lit(16.0), F.col("df"))))
+
+
 @register(
     "adjusted_p_values",
     """SELECT source, p, least(min(p * m / r) OVER (ORDER BY r DESC), 1) AS q FROM (

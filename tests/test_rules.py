@@ -392,12 +392,19 @@ def test_folds_are_disjoint_and_balanced(spark):
 
 
 def test_t_tail_and_effect_size(spark):
-    for df in (1, 2, 4, 9, 30):
-        assert math.isclose(significance.two_sided_t(0.0, df), 1.0)
-    assert math.isclose(significance.two_sided_t(2.776445105, 4), 0.05, abs_tol=1e-8)
-    assert math.isclose(significance.two_sided_t(1.0, 1), 0.5, abs_tol=1e-10)
-    closed = one(spark, significance.t_tail(F.lit(2.776445105), F.lit(4)))
-    assert math.isclose(closed, 0.05, abs_tol=1e-8)
+    # quantiles and tails from printed tables
+    tails = [
+        (0.0, 1, 1.0), (0.0, 30, 1.0), (1.0, 1, 0.5), (12.7062047, 1, 0.05), (4.30265273, 2, 0.05), (3.18244631, 3, 0.05),
+        (2.776445105, 4, 0.05), (-2.776445105, 4, 0.05), (2.26215716, 9, 0.05), (3.24983554, 9, 0.01), (2.04227246, 30, 0.05),
+        (math.inf, 4, 0.0),
+    ]
+    for t, df in [(1.9, 999), (1.9, 1000), (1.9, 1001), (0.3, 5000), (5.0, 1_000_000)]:  # areas by small steps
+        wide = np.linspace(0, min(math.pi / 2, 14 / math.sqrt(df)), 2_000_001)
+        height = np.exp((df - 1) * np.log(np.cos(wide[:-1] + (wide[1] - wide[0]) / 2)))
+        tails.append((t, df, height[wide[:-1] >= math.atan(t / math.sqrt(df))].sum() / height.sum()))
+    for t, df, p in tails:
+        assert math.isclose(one(spark, significance.t_tail(F.lit(t), F.lit(df))), p, abs_tol=2e-6 if df > 30 else 1e-8), (t, df)
+    assert one(spark, significance.t_tail(F.lit(1.0), F.lit(0))) is None
     dz = [one(spark, significance.cohens_dz(F.lit(m), F.lit(s), F.lit(n))) for m, s, n in [(0.0, 0.0, 5), (0.1, 0.0, 5), (0.2, 0.1, 5), (0.2, 0.1, 1)]]
     assert dz == [0.0, math.inf, 2.0, None]
 
