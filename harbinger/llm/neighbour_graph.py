@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from harbinger.session import cut_lineage
+from harbinger.session import stage
 
 BLOCK = 1024
 MEMBERS = 6  # smallest ids that a node can contribute to one answer of five, the asker among them
@@ -148,11 +148,11 @@ def compare_neighbours(batches):
                 yield pa.record_batch([pa.array(ids[row, i]), pa.array(ids[row, j]), pa.array(s[row, i, j])], names=["a", "b", "s"])
 
 
-def build(placed: DataFrame, width: int = 24, settled: float = 0.2) -> DataFrame:
+def build(placed: DataFrame, width: int = 24, settled: float = 0.3) -> DataFrame:
     """Neighbour lists ``a, b, s``.  Ends when a round changes at most ``settled`` of all entries;
     changes can only bring entries nearer, so it ends."""
     graph = best(first_lists(placed, width).withColumn("fresh", F.lit(True)), width)
-    graph, turn = cut_lineage(graph), 0
+    graph, turn = stage(graph), 0
     while True:
         turn += 1
         drawn = reverse(graph, width, F.xxhash64("u", "c", F.lit(turn)))
@@ -166,24 +166,27 @@ def build(placed: DataFrame, width: int = 24, settled: float = 0.2) -> DataFrame
         packed = near.join(known, "c").groupBy("u", "dim").agg(F.collect_list(item).alias("near"), F.max("fresh").alias("any"))
         found = packed.where("any").select("dim", "near").mapInArrow(compare_neighbours, "a LONG, b LONG, s FLOAT")
         old = graph.select("a", "b", "s", F.lit(False).alias("fresh"))
-        graph = cut_lineage(best(old.unionByName(found.withColumn("fresh", F.lit(True))), width))
+        graph = stage(best(old.unionByName(found.withColumn("fresh", F.lit(True))), width))
         count = graph.agg(F.count("*").alias("n"), F.count_if("fresh").alias("new")).first()
         if count["new"] <= settled * count["n"]:
             return graph
 
 
-def score_pairs(pairs: DataFrame, queries: DataFrame, nodes: DataFrame, blocks: int) -> DataFrame:
+def score_pairs(pairs: DataFrame, queries: DataFrame, nodes: DataFrame, blocks: int, many: bool) -> DataFrame:
     """``q, node, s`` of the pairs ``q, node`` whose cosine beats the query's ``bound``.
 
     Pairs travel as lists of ids to the block of the node's vector.  ``queries``: q, qv, bound.
-    A block that many ask for meets them in parts.
+    With ``many`` queries, more than a task takes at once, a block that many ask for meets them in parts.
     """
     block = F.pmod(F.xxhash64("node"), F.lit(blocks))
-    asked = pairs.groupBy("q", block.alias("block")).agg(F.collect_list("node").alias("asked"))
-    parts = asked.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    asked = asked.join(parts, "block").join(queries, "q").withColumn("part", F.pmod(F.xxhash64("q"), "parts").cast("int"))
-    held = nodes.withColumn("block", block).join(parts, "block")
-    held = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    asked = pairs.groupBy("q", block.alias("block")).agg(F.collect_list("node").alias("asked")).join(queries, "q")
+    held = nodes.withColumn("block", block)
+    if many:
+        parts = asked.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+        asked = asked.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("q"), "parts").cast("int"))
+        held = held.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    else:
+        asked, held = asked.withColumn("part", F.lit(0)), held.withColumn("part", F.lit(0))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"q": np.array([], "i8"), "node": np.array([], "i8"), "s": np.array([], "f8")}
@@ -218,7 +221,7 @@ def score_pairs(pairs: DataFrame, queries: DataFrame, nodes: DataFrame, blocks:
     return sides[0].groupBy(*keys).cogroup(sides[1].groupBy(*keys)).applyInArrow(score, "q LONG, node LONG, s DOUBLE")
 
 
-def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = 256) -> DataFrame:
+def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = 192) -> DataFrame:
     """``q, node, s``: the ``beam`` nearest nodes that greedy search finds, from the query's own node.
 
     ``queries``: ``q``, nodes of the graph.  Ends when every node in every beam has been followed.
@@ -227,27 +230,28 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = 2
     links = graph.select(F.col("a").alias("u"), F.col("b").alias("c")).unionByName(
         reverse(graph, width, F.col("s").desc()).select("u", "c")
     )
-    links = cut_lineage(links.distinct())
+    links = stage(links.distinct())
     blocks = math.ceil(nodes.count() / BLOCK)
-    vectors = cut_lineage(queries.join(nodes.select(F.col("node").alias("q"), F.col("v").alias("qv")), "q"))
+    vectors = stage(queries.join(nodes.select(F.col("node").alias("q"), F.col("v").alias("qv")), "q"))
+    many = vectors.count() > 4 * BLOCK
     order = Window.partitionBy("q").orderBy(F.col("s").desc(), "node")
     start = vectors.withColumn("bound", F.lit(float("-inf")))
-    found = score_pairs(queries.select("q", F.col("q").alias("node")), start, nodes, blocks)
-    found = cut_lineage(found.withColumn("done", F.lit(False)))
+    found = score_pairs(queries.select("q", F.col("q").alias("node")), start, nodes, blocks, many)
+    found = stage(found.withColumn("done", F.lit(False)))
     while not found.where("not done").isEmpty():
         seen = found.select("q", "node")
         follow = found.where("not done").select("q", F.col("node").alias("u"))
         reached = follow.join(links, "u").select("q", F.col("c").alias("node")).distinct().join(seen, ["q", "node"], "left_anti")
         bound = found.groupBy("q").agg(F.when(F.count("*") >= beam, F.min("s")).otherwise(float("-inf")).alias("bound"))
-        new = score_pairs(reached, vectors.join(bound, "q"), nodes, blocks).withColumn("done", F.lit(False))
+        new = score_pairs(reached, vectors.join(bound, "q"), nodes, blocks, many).withColumn("done", F.lit(False))
         both = found.withColumn("done", F.lit(True)).unionByName(new)
         both = both.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= beam).drop("_r")
-        found = cut_lineage(both)
+        found = stage(both)
     return found.drop("done")
 
 
 def nearest(vectors: DataFrame, asked, k: int = 5, key: str = "vec_id", vector: str = "embedding", tables: int = 4,
-            width: int = 24, beam: int = 256, settled: float = 0.2) -> DataFrame:
+            width: int = 24, beam: int = 192, settled: float = 0.3) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest rows found for each row where ``asked`` holds.
 
     ``asked`` is a condition on ``vec_id``.  Nearest first, ties to the smaller id; the query
@@ -257,11 +261,11 @@ def nearest(vectors: DataFrame, asked, k: int = 5, key: str = "vec_id", vector:
     """
     if k >= MEMBERS:
         raise ValueError(f"k is at most {MEMBERS - 1}")
-    rows = cut_lineage(usable(vectors, key, vector))
-    held = cut_lineage(members(rows))
+    rows = stage(usable(vectors, key, vector))
+    held = stage(members(rows))
     nodes = held.where("node = vec_id").select("node", "v")
-    graph = build(cut_lineage(directions(nodes, tables)), width, settled)
-    asking = cut_lineage(rows.where(asked).join(nodes, "v").select(F.col("vec_id").alias("query_id"), F.col("node").alias("q")))
+    graph = build(stage(directions(nodes, tables)), width, settled)
+    asking = stage(rows.where(asked).join(nodes, "v").select(F.col("vec_id").alias("query_id"), F.col("node").alias("q")))
     found = search(graph, nodes, asking.select("q").distinct(), beam)
     top = Window.partitionBy("q").orderBy(F.col("s").desc())
     few = found.withColumn("_r", F.rank().over(top)).where(F.col("_r") <= k + 1).drop("_r")
