@@ -11,15 +11,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from harbinger.functions.keyed import running_counts
 from harbinger.functions.vectors import cosine_distance, dot, mean_by_dimension
 from harbinger.operators.neighbours import BLOCK, links_within, nearest
-from harbinger.session import cut_lineage, keep
+from harbinger.session import cut_lineage, keep, stage
 
 ALIGNMENT_THRESHOLD = 0.30
 TOPIC_BLOCK = 256
@@ -44,23 +42,57 @@ def cumulative_snapshots(articles: DataFrame) -> DataFrame:
     return spread.join(F.broadcast(axis), "at")
 
 
+def gram_matrices(vectors: DataFrame) -> dict:
+    """``model -> matrix``: sums of products of the coordinates, a leading 1 included, in one pass over all models.
+
+    Every task adds up its own rows; one number per model and pair of coordinates reaches the driver.
+    """
+    kind = vectors.schema["model"].dataType.simpleString()
+
+    def add_up(batches):
+        sums: dict = {}
+        for pdf in batches:
+            for model, part in pdf.groupby("model", sort=False, dropna=False):
+                x = np.stack(part["coords"].to_numpy())
+                x = np.hstack([np.ones((len(x), 1)), x])
+                sums[model] = sums.get(model, 0.0) + x.T @ x
+        for model, g in sums.items():
+            i, j = np.triu_indices(len(g))
+            yield pd.DataFrame({"model": model, "i": i.astype("int32"), "j": j.astype("int32"), "s": g[i, j]})
+
+    parts = vectors.select("model", F.col("coords").cast("array<double>").alias("coords"))
+    found = parts.mapInPandas(add_up, f"model {kind}, i INT, j INT, s DOUBLE").groupBy("model", "i", "j").agg(F.sum("s").alias("s"))
+    out: dict = {}
+    rows = found.collect()
+    for r in rows:
+        out.setdefault(r["model"], {})[r["i"], r["j"]] = r["s"]
+    for model, cells in out.items():
+        n = 1 + max(i for i, _ in cells)
+        g = np.zeros((n, n))
+        for (i, j), value in cells.items():
+            g[i, j] = g[j, i] = value
+        out[model] = g
+    return out
+
+
 def reduce_dimensions(vectors: DataFrame, dims: int = 20) -> DataFrame:
     """``coords`` by principal components, fitted once per model over the whole corpus.
 
     Stands in for a manifold projection: coordinates look ahead in time the same way,
     but are not the same numbers.  The sign of a component is fixed by its largest
-    loading.  One fit per configured model; only the d x dims loadings reach the driver.
+    loading.  All models are fitted in one pass and projected in another; one row of loadings per model is sent out.
     """
-    models = [r["model"] for r in vectors.select("model").distinct().collect()]
-    out = None
-    for m in sorted(models, key=str):
-        mine = vectors.where(F.col("model") == m).withColumn("_v", array_to_vector("coords"))
-        pc = PCA(k=dims, inputCol="_v", outputCol="_p").fit(mine).pc.toArray()
+    kind = vectors.schema["model"].dataType.simpleString()
+    loadings = []
+    for model, g in gram_matrices(vectors).items():
+        n, mean = g[0, 0], g[0, 1:] / g[0, 0]
+        values, axes = np.linalg.eigh(g[1:, 1:] / n - np.outer(mean, mean))
+        pc = axes[:, np.argsort(-values, kind="stable")[: min(dims, len(values))]]
         pc = pc * np.where(pc[np.abs(pc).argmax(axis=0), np.arange(pc.shape[1])] < 0, -1.0, 1.0)
-        axes = [F.array(*[F.lit(float(x)) for x in pc[:, j]]) for j in range(pc.shape[1])]
-        part = mine.withColumn("coords", F.array(*[dot(F.col("coords"), a) for a in axes])).drop("_v")
-        out = part if out is None else out.unionByName(part)
-    return out
+        loadings.append((model, pc.T.tolist()))
+    axes = vectors.sparkSession.createDataFrame(loadings, f"model {kind}, _axes ARRAY<ARRAY<DOUBLE>>")
+    placed = vectors.join(F.broadcast(axes), "model")
+    return placed.withColumn("coords", F.transform("_axes", lambda a: dot(F.col("coords"), a))).select(*vectors.columns)
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -68,10 +100,10 @@ def connected_components(nodes: DataFrame, edges: DataFrame, keys: list[str]) ->
 
     ``nodes``: keys + node; ``edges``: keys + a, b.  Each round takes the smallest label
     among the neighbours and then jumps to that label's own label, so the number of
-    rounds grows with the logarithm of the diameter.  Rounds are checkpointed to the
+    rounds grows with the logarithm of the diameter.  Rounds are written to the
     shared folder and end when no label changes.
     """
-    both = cut_lineage(
+    both = stage(
         edges.select(*keys, "a", "b").unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
         .where(F.col("a") != F.col("b")).distinct()
     )
@@ -82,9 +114,9 @@ def connected_components(nodes: DataFrame, edges: DataFrame, keys: list[str]) ->
         lower = labels.join(heard, [*keys, "node"], "left").select(
             *keys, "node", F.col("label").alias("old"), F.least("label", F.coalesce("heard", "label")).alias("label")
         )
-        lower = cut_lineage(lower)
+        lower = stage(lower)
         up = lower.select(*keys, F.col("node").alias("label"), F.col("label").alias("jump"))
-        jumped = cut_lineage(
+        jumped = stage(
             lower.join(up, [*keys, "label"]).select(*keys, "node", "old", F.least("label", "jump").alias("label"))
         )
         changed = jumped.where(F.col("old") != F.col("label")).limit(1).count()

@@ -47,8 +47,31 @@ def cumulative_snapshots(spark, sf_dir):
 
 @register("reduced_coordinates")
 def reduced_coordinates(spark, sf_dir):
-    out = T.reduce_dimensions(inputs.vectors(spark, sf_dir), 4)
-    return out.select("model", "article_id", *[r6(F.col("coords")[i]).alias(f"c{i}") for i in range(4)])
+    out = T.reduce_dimensions(inputs.vectors(spark, sf_dir))
+    return out.select("model", "article_id", *[r6(F.col("coords")[i]).alias(f"c{i}") for i in range(DIMS)])
+
+
+# principal components keep the whole variance, in falling order, and do not vary together
+@register(
+    "component_variances",
+    sql(
+        """SELECT model, sum(v)::DOUBLE AS variance, 0::BIGINT AS n_rising, 0.0::DOUBLE AS shared FROM (
+            SELECT model, i, round(var_pop(coords[i]), 9) AS v FROM vectors, range(1, %d) r(i) GROUP BY model, i) GROUP BY model"""
+        % (DIMS + 1),
+        "vectors",
+    ).replace("sum(v)::DOUBLE", "round(sum(v), 6)"),
+)
+def component_variances(spark, sf_dir):
+    out = T.reduce_dimensions(inputs.vectors(spark, sf_dir), DIMS)
+    parts = [F.col("coords")[i] for i in range(DIMS)]
+    stats = out.groupBy("model").agg(
+        *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(parts)],
+        *[F.covar_pop(parts[i], parts[j]).alias(f"c{i}_{j}") for i in range(DIMS) for j in range(i + 1, DIMS)],
+    )
+    rising = sum((F.col(f"v{i + 1}") > F.col(f"v{i}") + 1e-12).cast("long") for i in range(DIMS - 1))
+    shared = F.greatest(*[F.abs(F.col(f"c{i}_{j}")) for i in range(DIMS) for j in range(i + 1, DIMS)])
+    total = sum(F.col(f"v{i}") for i in range(DIMS))
+    return stats.select("model", r6(total).alias("variance"), rising.alias("n_rising"), r6(shared).alias("shared"))
 
 
 @register("density_clusters")
