@@ -8,6 +8,7 @@ cross-parsing).  Texts are parsed in lanes side by side, one numpy step per symb
 
 from __future__ import annotations
 
+import sys
 from collections import Counter
 from dataclasses import dataclass
 
@@ -36,14 +37,21 @@ class Automaton:
 
 
 def symbols_of(text: str) -> np.ndarray:
-    """Code points of the lowered text, every run of other characters as one blank."""
+    """Code points of the lowered text, every run of other characters as one blank; none without a letter.
+
+    Combining marks go with letters, but are none.
+    """
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    points = np.where(LETTER[np.minimum(points, PLANE)], points, 32)
+    if not LETTER[points].any():
+        return points[:0]
+    points = np.where(LETTER[points] | MARK[points], points, 32)
     blank = points == 32
     return points[~(blank & np.concatenate(([False], blank[:-1])))] if len(points) else points
 
 
-LETTER = np.array([chr(i).isalpha() or 0x300 <= i < 0x370 for i in range(PLANE)] + [True])
+LETTER = np.array([chr(i).isalpha() for i in range(sys.maxunicode + 1)])
+MARK = np.zeros(len(LETTER), dtype=bool)
+MARK[0x300:0x370] = True
 
 
 def suffix_automaton(sequence: list[int]) -> list[dict[int, int]]:

@@ -218,6 +218,10 @@ def test_phrases_by_brute_force():
 def test_languages(spark):
     got = {r.doc_id: r.lang_pred for r in language.identify(table(spark, ["the cat and the dog sat", "le chien et le chat", "12 !?", None]), models(spark)).collect()}
     assert got == {0: "en", 1: "fr", 2: "und", 3: "und"}
+    # no letters: emoji, flags, combining marks alone; letters beyond the first plane are letters
+    odd = ["\U0001f600 \U0001f468\u200d\U0001f469", "\U0001f1eb\U0001f1f7", "\u0301\u0302 12", "\U00010400\U00010401", "\U00020000"]
+    found = [r.lang_pred for r in language.identify(table(spark, odd), models(spark)).orderBy("doc_id").collect()]
+    assert found[:3] == ["und"] * 3 and "und" not in found[3:]
 
 
 def test_mix_keeps_to_targets_and_runs_again(spark):
