@@ -49,8 +49,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     held_out = fold("doc_id", 7, 2)
-    tree, tail = suffix_lm.learn(docs.where(~held_out))
-    scored = suffix_lm.score(docs, tree, tail)
+    tree = suffix_lm.learn(docs.where(~held_out))
+    scored = suffix_lm.score(docs, tree)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known",
                          F.lit(tree.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -1,290 +1,325 @@
-"""Language-model scores from a probabilistic suffix tree.
-
-The tree holds contexts of up to ``depth`` words.  Grams are counted level by level over the
-whole training text: a gram can only be frequent if its first and its last words are, so
-each level counts just those (no frequent gram is missed).  A context is kept where its
-next-word counts differ from those of its suffix by enough nats (a likelihood-ratio
-test).  Its distribution is smoothed by absolute discounting towards its suffix's, down to
-the empty context, whose add-one distribution covers all words and one unknown.  A word is
-scored in the longest kept suffix of the words before it.
-
-Frequent means a share of all tokens, so a level holds at most ``1 / share`` grams
-whatever the corpus: that bounds the tables that tasks hold.  The counts of rarer words,
-which have no such bound, are never held; they meet the words of the texts in a join.
+"""Language-model scores from a probabilistic suffix tree held as Spark tables.
+
+The tree holds contexts of up to ``depth`` words.  Grams seen ``least`` times or more are counted
+level by level; a gram can only be frequent if its first and its last words are.  A context is
+kept where its next-word counts differ from those of its suffix by enough nats (a likelihood-ratio
+test).  Its distribution is smoothed by absolute discounting towards its suffix's, down to the
+empty context, whose add-one distribution covers all words and one unknown.  A word is scored in
+the longest kept suffix of the words before it.
+
+Both limits are the same at every size, so the tree grows with the text.  It is one table of
+grams and values: what a gram adds as the end of a context with its next word, and what it leaves
+to its suffix as a context of the word after it.  The score of a text is the sum of the values of
+its grams.  The ``held`` most frequent grams go to the tasks and are added up there; the others
+meet their values in a join, once per text.  Bitmaps of fixed width tell the tasks which grams
+need not travel; they let through too many, never too few.
+
+Words and grams are known by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harbinger.llm.common import lowered_words, small_batches
-from harbinger.session import cut_lineage
+from harbinger.llm.common import lowered_words
+from harbinger.session import stage
 
-END = 0  # number of the end token; words are numbered from 1, rarer ones are -1
-
-
-@dataclass
-class Level:
-    """Grams of one length in order of ``keys``: (index of the gram without its last word) << 32 | last
-    word.  ``left`` is the mass a kept context leaves to its suffix, NaN where it is not kept."""
-
-    keys: np.ndarray
-    counts: np.ndarray
-    left: np.ndarray = field(default_factory=lambda: np.zeros(0))
+END = xxhash.xxh64_intdigest(b"")  # no word is empty
 
 
 @dataclass
 class Tree:
+    """``values``: ``key, n, base, value``; ``base`` (words only) is log10(n + 1)."""
+
     tokens: int
     distinct: int
-    words: dict[bytes, int]
-    counts: np.ndarray
-    levels: list[Level]
-    discount: float
+    values: DataFrame
 
     @property
-    def depth(self) -> int:
-        return len(self.levels) - 1
+    def scale(self) -> float:
+        return float(np.log10(self.tokens + self.distinct + 1))
 
 
-def numbered(texts: list[str | None], words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Token numbers of all texts in a row, the first token's place of each, and their words."""
-    split = [lowered_words(t) for t in texts]
-    get = words.get
-    flat = [n for s in split for n in (*[get(w, -1) for w in s], END)]
-    starts = np.cumsum([0, *[len(s) + 1 for s in split]])
-    return np.array(flat, dtype=np.int64), starts, split
+class Hashes(dict):
+    """Hashes of words met before; emptied when it holds 300,000."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 300_000:
+            self.clear()
+        self[word] = xxhash.xxh64_intdigest(word)
+        return self[word]
 
-def gram_index(tokens: np.ndarray, starts: np.ndarray, levels: list[Level]) -> list[np.ndarray]:
-    """For each level, the index of the gram that ends at each token, or -1.  Grams keep to their text."""
-    first = np.zeros(len(tokens), dtype=bool)
-    first[starts[:-1]] = True
-    found = [np.where(tokens >= 0, tokens, -1)]
-    for level in levels[1:]:
-        before = np.concatenate(([-1], found[-1][:-1]))
-        key = np.where((before >= 0) & (tokens >= 0) & ~first, before << 32 | np.maximum(tokens, 0), -1)
-        if len(level.keys):
-            place = np.minimum(np.searchsorted(level.keys, key), len(level.keys) - 1)
-            found.append(np.where((key >= 0) & (level.keys[place] == key), place, -1))
-        else:
-            found.append(np.full(len(tokens), -1, dtype=np.int64))
-    return found
 
+def tokens_of(texts: list[str | None], hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """Token hashes of all texts in a row, and the first token's place of each, with the end."""
+    flat: list[int] = []
+    starts = [0]
+    for text in texts:
+        flat.extend(map(hashes.__getitem__, lowered_words(text)))
+        flat.append(END)
+        starts.append(len(flat))
+    return np.fromiter(flat, np.uint64, len(flat)), np.array(starts)
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[list[str | None]]:
-    """The texts of Arrow batches, a few at a time, so that their words need little memory."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.column(0).slice(i, rows).to_pylist()
 
+def extended(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of grams from those of their contexts and last words."""
+    z = context * np.uint64(0x9E3779B97F4A7C15) + word
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
 
-def word_counts(train: DataFrame, text: str, most: int = 300_000) -> DataFrame:
-    """``word binary, n`` over all texts, and ``(empty, n)`` for the ends of texts; tasks add up first."""
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+def grams_of(tokens: np.ndarray, starts: np.ndarray, most: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """For lengths 1 to ``most``, the gram that ends at each token; and each token's place in its text.
+    A gram keeps to its text where the place is at least its length less one."""
+    out = [tokens]
+    for _ in range(1, most):
+        out.append(np.concatenate((tokens[:1], extended(out[-1][:-1], tokens[1:]))))
+    return out, np.arange(len(tokens)) - np.repeat(starts[:-1], np.diff(starts))
+
+
+def slices(column: pa.Array, rows: int = 128) -> Iterator[list[str | None]]:
+    """The texts, a few at a time, so that their words need little memory."""
+    for i in range(0, len(column), rows):
+        yield column.slice(i, rows).to_pylist()
+
+
+def bitmap(keys: DataFrame, width: int = 27) -> np.ndarray:
+    """Bits set at the last ``width`` bits of each key: 16 MB whatever the number of keys."""
+    part = 19  # bits of a place inside a block; a block has at most 2^13 rows
+    lanes = keys.groupBy(F.expr(f"key & {2**width - 64}L").alias("slot")).agg(
+        F.expr("bit_or(shiftleft(1L, int(key & 63L)))").alias("lane")
+    )
+
+    def packed(block: pa.Table) -> pa.Table:
+        lane = np.zeros(2 ** (part - 6), dtype=np.int64)
+        lane[(block["slot"].to_numpy() & (2**part - 1)) >> 6] = block["lane"].to_numpy()
+        return pa.table({"block": block["block"][:1], "bits": pa.array([lane.tobytes()], pa.binary())})
+
+    rows = lanes.withColumn("block", F.expr(f"int(shiftright(slot, {part}))")).groupBy("block").applyInArrow(
+        packed, "block int, bits binary"
+    )
+    out = np.zeros((2 ** (width - part), 2 ** (part - 6)), dtype=np.int64)
+    for r in rows.toLocalIterator():
+        out[r.block] = np.frombuffer(r.bits, dtype=np.int64)
+    return out.reshape(-1).view(np.uint64)
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"]
-            )
-
-        for texts in slices(batches):
-            for value in texts:
-                held.update(lowered_words(value))
-                held[b""] += 1
-                if len(held) > most:
-                    yield out()
-                    held.clear()
-        yield out()
 
-    return train.select(text).mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    lane = (keys >> np.uint64(6)) & np.uint64(len(bits) - 1)
+    return (bits[lane] >> (keys & np.uint64(63))) & np.uint64(1) == 1
 
 
-def gram_counts(train: DataFrame, text: str, words: dict[bytes, int], levels: list[Level]) -> DataFrame:
-    """``key, n`` of the next level: grams whose first and last parts are both in the last level."""
-    shared = train.sparkSession.sparkContext.broadcast((words, levels))
+def gram_counts(train: DataFrame, text: str, length: int, frequent: np.ndarray | None) -> DataFrame:
+    """``key, context, suffix, n`` of the grams of a length, by their parts as far as ``frequent`` tells.
+    The context is the gram without its last word, the suffix that without its first."""
+    shared = train.sparkSession.sparkContext.broadcast(frequent)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, levels = shared.value
+        frequent, hashes = shared.value, Hashes()
         held: list[np.ndarray] = []
         size = 0
 
         def out() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
-
-        for texts in slices(batches):
-            tokens, starts, _ = numbered(texts, words)
-            last = gram_index(tokens, starts, levels)[-1]
-            before = np.concatenate(([-1], last[:-1]))
-            before[starts[:-1]] = -1
-            good = (before >= 0) & (last >= 0)
-            held.append(before[good] << 32 | tokens[good])
-            size += len(held[-1])
-            if size > 2_000_000:
-                yield out()
-                held.clear()
-                size = 0
+            key, first, n = np.unique(np.concatenate([h[0] for h in held]), return_index=True, return_counts=True)
+            parts = [np.concatenate([h[i] for h in held])[first].view(np.int64) for i in (1, 2)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (key.view(np.int64), *parts, n)],
+                                              ["key", "context", "suffix", "n"])
+
+        for batch in batches:
+            for texts in slices(batch.column(0)):
+                grams, place = grams_of(*tokens_of(texts, hashes), length)
+                good = place >= length - 1
+                context, suffix = (np.roll(grams[-2], 1), grams[-2]) if length > 1 else (grams[0], grams[0])
+                if frequent is not None:
+                    good = good & passes(frequent, suffix) & passes(frequent, context)
+                held.append(np.stack([grams[-1][good], context[good], suffix[good]]))
+                size += held[-1].shape[1]
+                if size > 2_000_000:
+                    yield out()
+                    held.clear()
+                    size = 0
         if held:
             yield out()
 
-    return train.select(text).mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def keep_contexts(levels: list[Level], tokens: int, distinct: int, discount: float, nats: float) -> None:
-    """Set ``left`` of each level: the test compares every context with its suffix, longest first, and a
-    kept context keeps its suffixes, so that the states form a tree."""
-    suffix: list[np.ndarray] = [np.zeros(0, dtype=np.int64)]
-    for k in range(1, len(levels)):
-        head, word = levels[k].keys >> 32, levels[k].keys & 0xFFFFFFFF
-        if k == 1:
-            suffix.append(word)
-        else:
-            key = suffix[k - 1][head] << 32 | word
-            suffix.append(np.searchsorted(levels[k - 1].keys, key))
-    kept = [np.zeros(len(level.keys), dtype=bool) for level in levels]
-    for k in range(len(levels) - 1, 0, -1):
-        level, below = levels[k], levels[k - 1]
-        context, word = level.keys >> 32, level.keys & 0xFFFFFFFF
-        here = level.counts / below.counts[context]
-        if k == 1:
-            there = (levels[0].counts[word] + 1) / (tokens + distinct + 1)
-        else:
-            lower = suffix[k]  # the gram without its first word
-            there = levels[k - 1].counts[lower] / levels[k - 2].counts[levels[k - 1].keys[lower] >> 32]
-        gain = np.bincount(context, weights=level.counts * np.log(here / there), minlength=len(below.keys))
-        rest = below.counts - np.bincount(context, weights=level.counts, minlength=len(below.keys))
-        other = below.counts - np.bincount(context, weights=below.counts[context] * there, minlength=len(below.keys))
-        gain = gain + np.where(rest > 0, rest * np.log(np.maximum(rest, 1) / np.maximum(other, 1e-9)), 0.0)
-        kept[k - 1] |= gain >= nats
-        mass = np.bincount(context, weights=np.maximum(level.counts - discount, 0), minlength=len(below.keys))
-        below.left = 1 - mass / below.counts
-        if k > 1:
-            kept[k - 2][suffix[k - 1][kept[k - 1]]] = True
-    for k, level in enumerate(levels):
-        level.left = np.where(kept[k], level.left, np.nan) if len(level.left) else np.full(len(level.keys), np.nan)
-    levels[0].left[END] = np.nan
-
-
-def learn(train: DataFrame, text: str = "text", depth: int = 2, share: float = 5e-6, nats: float = 20.0,
-          discount: float = 0.75) -> tuple[Tree, DataFrame]:
-    """The tree, and ``word, n`` of the rarer words.
-
-    All texts are counted.  Null texts are empty ones: their end counts.  Without texts
-    every word is the unknown one.
-    """
-    small_batches(train.sparkSession)
-    counts = cut_lineage(word_counts(train, text))
-    row = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    rows = train.select(text).mapInArrow(counted, "key long, context long, suffix long, n long")
+    return rows.groupBy("key").agg(
+        F.sum("n").alias("n"), F.min("context").alias("context"), F.min("suffix").alias("suffix")
+    )
+
+
+def renamed(df: DataFrame, **names: str) -> DataFrame:
+    return df.select(*[F.col(old).alias(new) for new, old in names.items()])
+
+
+def learn(train: DataFrame, text: str = "text", depth: int = 2, least: int = 2, nats: float = 4.0,
+          discount: float = 0.75) -> Tree:
+    """The tree.  All texts are counted.  Null texts are empty ones: their end counts.  Repeated rows count
+    as often as they stand.  Without texts every word is the unknown one."""
+    words = stage(gram_counts(train, text, 1, None).select("key", "n"))
+    row = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     tokens, distinct = int(row.n), int(row.v)
-    least = max(2, int(np.ceil(share * tokens)))
-    head = sorted((r.n, bytes(r.word)) for r in counts.where((F.col("n") >= least) & (F.length("word") > 0)).toLocalIterator())
-    words = {w: i for i, (_, w) in enumerate(reversed(head), 1)}
-    ends = counts.where(F.length("word") == 0).first()
-    own = np.array([ends.n if ends else 0, *[n for n, _ in reversed(head)]], dtype=np.int64)
-    levels = [Level(np.arange(len(own), dtype=np.int64), np.maximum(own, 1))]
-    for _ in range(depth):
-        found = gram_counts(train, text, words, levels).where(F.col("n") >= least)
-        rows = sorted((r.key, r.n) for r in found.toLocalIterator())
-        levels.append(Level(np.array([k for k, _ in rows], dtype=np.int64), np.array([n for _, n in rows], dtype=np.int64)))
-    keep_contexts(levels, tokens, distinct, discount, nats)
-    tree = Tree(tokens, distinct, words, own, levels, discount)
-    return tree, counts.where((F.col("n") < least) & (F.length("word") > 0))
-
-
-def log_probabilities(tokens: np.ndarray, starts: np.ndarray, tree: Tree) -> np.ndarray:
-    """log10 of each token's probability in its longest kept state.
-
-    For rarer words the count is left out: the value is what the states leave them, over
-    ``N + V + 1``, and log10(count + 1) is to be added.
-    """
-    grams = gram_index(tokens, starts, tree.levels)
-    known = tokens >= 0
-    p = np.where(known, tree.counts[np.maximum(tokens, 0)] + 1.0, 1.0) / (tree.tokens + tree.distinct + 1)
-    first = np.zeros(len(tokens), dtype=bool)
-    first[starts[:-1]] = True
-    for k in range(1, len(tree.levels)):
-        level, below = tree.levels[k], tree.levels[k - 1]
-        context = np.concatenate(([-1], grams[k - 1][:-1]))
-        context[first] = -1
-        left = np.where(context >= 0, below.left[np.maximum(context, 0)], np.nan)
-        gram = grams[k]
-        seen = np.where(gram >= 0, level.counts[np.maximum(gram, 0)] - tree.discount, 0.0) if len(level.keys) else 0.0
-        here = np.maximum(seen, 0) / below.counts[np.maximum(context, 0)] + left * p
-        p = np.where(np.isnan(left), p, here)
-    return np.log10(p)
-
-
-HELD = "tail_hash array<long>, tail_times array<int>"
-
-
-def score(texts: DataFrame, tree: Tree, tail: DataFrame, text: str = "text") -> DataFrame:
+    share = (F.col("n") + 1) / F.lit(float(tokens + distinct + 1))
+    levels = [words.withColumn("rate", share)]
+    for length in range(2, depth + 2):
+        below = levels[-1].where(F.col("n") >= least)
+        counted = gram_counts(train, text, length, bitmap(below.select("key"))).where(F.col("n") >= least)
+        level = (
+            counted.join(renamed(below, context="key", whole="n"), "context")
+            .join(renamed(below, suffix="key", there="rate"), "suffix")
+            .withColumn("rate", F.col("n") / F.col("whole"))
+        )
+        levels.append(stage(level))
+    return Tree(tokens, distinct, stage(valued(levels, kept_contexts(levels, nats, discount), discount)))
+
+
+def kept_contexts(levels: list[DataFrame], nats: float, discount: float) -> list[DataFrame]:
+    """``context, rest`` of the kept contexts of each length: ``rest`` is the mass left to the suffix.  A kept
+    context keeps its suffixes, so that the states form a tree."""
+    kept: list[DataFrame] = []
+    for k in range(len(levels) - 1, 0, -1):
+        sums = levels[k].groupBy("context").agg(
+            F.sum(F.col("n") * F.log(F.col("rate") / F.col("there"))).alias("gain"),
+            F.sum("n").alias("seen"), F.sum("there").alias("there"), F.max("whole").alias("whole"),
+            F.sum(F.greatest(F.col("n") - discount, F.lit(0.0))).alias("mass"),
+        )
+        rare = F.col("whole") - F.col("seen")
+        other = F.greatest(F.col("whole") * (1 - F.col("there")), F.lit(1e-9))
+        gain = F.col("gain") + F.when(rare > 0, rare * F.log(rare / other)).otherwise(0.0)
+        sums = sums.select("context", gain.alias("gain"), (1 - F.col("mass") / F.col("whole")).alias("rest"))
+        wanted = F.col("gain") >= nats
+        if kept:
+            longer = kept[-1].join(renamed(levels[k], context="key", suffix="suffix"), "context")
+            needed = longer.select(F.col("suffix").alias("context"), F.lit(True).alias("needed")).distinct()
+            sums, wanted = sums.join(needed, "context", "left"), wanted | F.col("needed")
+        kept.append(stage(sums.where(wanted).select("context", "rest")))
+    return kept[::-1]
+
+
+def valued(levels: list[DataFrame], kept: list[DataFrame], discount: float) -> DataFrame:
+    """``key, n, base, value`` of all words and of those longer grams that change a score."""
+    parts = []
+    below = levels[0].select("key", "n", F.log10(F.col("n") + 1.0).alias("base"), F.col("rate").alias("p"),
+                             F.log10(F.col("n") + 1.0).alias("gain"))
+    for k in range(len(levels)):
+        if k:
+            rows = levels[k].join(kept[k - 1], "context", "left").join(renamed(below, suffix="key", low="p"), "suffix")
+            left = F.col("rest") * F.col("low")
+            p = F.greatest(F.col("n") - discount, F.lit(0.0)) / F.col("whole") + left
+            below = stage(rows.select(
+                "key", "n", F.lit(None).cast("double").alias("base"), F.coalesce(p, "low").alias("p"),
+                F.coalesce(F.log10(p / left), F.lit(0.0)).alias("gain"),
+            ))
+        value: Column = F.col("gain")
+        rows = below
+        if k < len(kept):
+            rows = below.join(renamed(kept[k], key="context", rest="rest"), "key", "left")
+            value = value + F.coalesce(F.log10("rest"), F.lit(0.0))
+        rows = rows.select("key", "n", "base", value.alias("value"))
+        parts.append(rows.where("value <> 0") if k else rows)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def split_by_count(values: DataFrame, held: int) -> tuple[DataFrame, DataFrame]:
+    """At most ``held`` grams, the most frequent, and the others; cut at eighths of powers of two."""
+    bucket = F.floor(F.log2("n") * 8)
+    sizes = sorted(((r.b, r["count"]) for r in values.groupBy(bucket.alias("b")).count().collect()), reverse=True)
+    cut, total = float("inf"), 0
+    for b, n in sizes:
+        total += n
+        if total > held:
+            break
+        cut = b
+    return values.where(bucket >= F.lit(cut)), values.where(bucket < F.lit(cut))
+
+
+def scorer(head: pa.Table, rest: np.ndarray, depth: int, spark) -> Callable[..., Column]:
+    """A column function: sums of a text over the grams in ``head``, and the other grams with their times."""
+    order = np.argsort(head["key"].to_numpy().view(np.uint64))
+    columns = [head["key"].to_numpy().view(np.uint64)[order], *[
+        head[c].to_numpy(zero_copy_only=False).astype(float)[order] for c in ("base", "value")
+    ]]
+    shared = spark.sparkContext.broadcast((columns, rest))
+    kinds = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "value": pa.float64(),
+             "keys": pa.list_(pa.int64()), "times": pa.list_(pa.int32())}
+
+    def some(texts: list[str | None], hashes: Hashes) -> pa.StructArray:
+        (keys, base, value), rest = shared.value
+        tokens, starts = tokens_of(texts, hashes)
+        grams, place = grams_of(tokens, starts, depth + 1)
+        of = np.repeat(np.arange(len(texts)), np.diff(starts))
+        sums = np.zeros((3, len(tokens)))
+        others = []
+        for k, gram in enumerate(grams):
+            at = np.minimum(np.searchsorted(keys, gram), max(len(keys) - 1, 0))
+            inside = place >= k
+            found = inside & (keys[at] == gram) if len(keys) else np.zeros(len(gram), dtype=bool)
+            sums[2, found] += value[at[found]]
+            if k == 0:
+                sums[0, found] = 1
+                sums[1, found] = base[at[found]]
+            away = inside & ~found & passes(rest, gram)
+            others.append(np.stack([of[away].astype(np.uint64), gram[away]]))
+        totals = np.add.reduceat(sums, starts[:-1], axis=1)
+        text, key = np.concatenate(others, axis=1)
+        sort = np.lexsort((key, text))
+        text, key = text[sort], key[sort]
+        new = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (key[1:] != key[:-1])))[: len(key)])
+        times = np.diff(np.append(new, len(key)))
+        offsets = pa.array(np.searchsorted(text[new], np.arange(len(texts) + 1)), pa.int32())
+        return pa.StructArray.from_arrays([
+            pa.array(np.diff(starts)), pa.array(totals[0].astype(np.int64)), pa.array(totals[1]), pa.array(totals[2]),
+            pa.ListArray.from_arrays(offsets, pa.array(key[new].view(np.int64))),
+            pa.ListArray.from_arrays(offsets, pa.array(times, pa.int32())),
+        ], list(kinds))
+
+    @F.arrow_udf("n_tokens long, n_known long, base double, value double, keys array<long>, times array<int>")
+    def summed(column: pa.Array) -> pa.Array:
+        hashes = Hashes()
+        parts = [some(texts, hashes) for texts in slices(column)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct(list(kinds.items())))
+
+    return summed
+
+
+def score(texts: DataFrame, tree: Tree, text: str = "text", depth: int = 2, held: int = 500_000) -> DataFrame:
     """Input columns but the text, and ``n_tokens, n_known, base_score, score``; one row per row.
 
     Whole texts are scored.  A null or empty text is its end token.  Repeated rows come
     out alike; an empty table gives no rows; input columns named as an output give way.
-    Rarer words meet their counts by a join on their hash, per text summed before.
+    ``depth`` is that of the tree.  ``held`` bounds what goes to the tasks and changes no score
+    beyond the rounding of sums.
     """
     spark = texts.sparkSession
-    small_batches(spark)
     outputs = ("n_tokens", "n_known", "base_score", "score")
     carried = [c for c in texts.columns if c != text and c.lower() not in outputs]
-    shared = spark.sparkContext.broadcast(tree)
+    head, tail = split_by_count(tree.values, held)
+    summed = scorer(head.select("key", "base", "value").toArrow(), bitmap(tail.select("key")), depth, spark)
     line = F.struct(*[F.col(f"`{c}`") for c in carried]) if carried else F.lit("").alias("none")
-
-    @F.pandas_udf(f"n_tokens long, n_known long, base double, full double, {HELD}")
-    def by_head(column: pd.Series) -> pd.DataFrame:
-        tree = shared.value
-        scale = np.log10(tree.tokens + tree.distinct + 1)
-        out = []
-        for a in range(0, len(column), 128):
-            values = list(column[a : a + 128])
-            tokens, starts, split = numbered(values, tree.words)
-            full = np.add.reduceat(log_probabilities(tokens, starts, tree), starts[:-1])
-            base = np.add.reduceat(
-                np.where(tokens >= 0, np.log10(tree.counts[np.maximum(tokens, 0)] + 1.0), 0.0) - scale, starts[:-1]
-            )
-            seen = np.add.reduceat((tokens >= 0) & (tree.counts[np.maximum(tokens, 0)] > 0), starts[:-1], dtype=np.int64)
-            for i, words in enumerate(split):
-                rare = Counter(xxhash.xxh64_intdigest(w) - 2**63 for w in words if w not in tree.words)
-                hashes, times = np.fromiter(rare, np.int64, len(rare)), np.fromiter(rare.values(), np.int32, len(rare))
-                out.append((len(words) + 1, seen[i], base[i], full[i], hashes, times))
-        return pd.DataFrame(out, columns=["n_tokens", "n_known", "base", "full", "tail_hash", "tail_times"])
-
-    @F.pandas_udf("long")
-    def hashed(column: pd.Series) -> pd.Series:
-        return column.map(lambda w: xxhash.xxh64_intdigest(bytes(w)) - 2**63)
-
-    keyed = texts.select(
-        line.alias("line"), F.xxhash64(F.col(text), *[F.col(f"`{c}`") for c in carried]).alias("key1"),
-        F.hash(*[F.col(f"`{c}`") for c in carried], F.col(text)).alias("key2"), by_head(F.col(text)).alias("s"),
-    )
-    scored = cut_lineage(keyed)
-    rare = scored.select("key1", "key2", F.explode(F.arrays_zip("s.tail_hash", "s.tail_times")).alias("t")).select(
-        "key1", "key2", F.col("t.tail_hash").alias("h"), F.col("t.tail_times").alias("times")
+    scored = stage(texts.select(F.monotonically_increasing_id().alias("row"), line.alias("line"),
+                                summed(F.col(f"`{text}`")).alias("s")))
+    asked = scored.select("row", F.explode(F.arrays_zip("s.keys", "s.times")).alias("t")).select(
+        "row", F.col("t.keys").alias("key"), F.col("t.times").alias("times")
     )
-    counts = tail.select(hashed("word").alias("h"), "n")
-    sums = rare.join(counts, "h").groupBy("key1", "key2").agg(
-        F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more")
+    more = asked.join(tail.select("key", "base", "value"), "key").groupBy("row").agg(
+        F.sum(F.when(F.col("base").isNotNull(), F.col("times"))).alias("known"),
+        F.sum(F.col("times") * F.col("base")).alias("base"), F.sum(F.col("times") * F.col("value")).alias("value"),
     )
-    copies = scored.where(F.size("s.tail_hash") > 0).groupBy("key1", "key2").agg(F.count("*").alias("copies"))
-    sums = sums.join(copies, ["key1", "key2"])
-    each = lambda c: F.coalesce(F.col(c) / F.col("copies"), F.lit(0.0))
-    return scored.join(sums, ["key1", "key2"], "left").select(
+    whole = lambda c: F.col(f"s.{c}") + F.coalesce(F.col(c), F.lit(0.0)) - F.col("s.n_tokens") * F.lit(tree.scale)
+    return scored.join(more, "row", "left").select(
         *[F.col("line").getField(c).alias(c) for c in carried],
         F.col("s.n_tokens").alias("n_tokens"),
-        (F.col("s.n_known") + each("known").cast("long")).alias("n_known"),
-        (F.col("s.base") + each("more")).alias("base_score"),
-        (F.col("s.full") + each("more")).alias("score"),
+        (F.col("s.n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
+        whole("base").alias("base_score"),
+        whole("value").alias("score"),
     )

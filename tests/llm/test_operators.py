@@ -51,7 +51,7 @@ def models(spark):
 
 OPERATORS = {
     "forest_join": lambda s, d: forest_join.join(d),
-    "suffix_lm": lambda s, d: suffix_lm.score(d, *suffix_lm.learn(d)),
+    "suffix_lm": lambda s, d: suffix_lm.score(d, suffix_lm.learn(d)),
     "licenses": lambda s, d: licenses.scan(d),
     "extraction": lambda s, d: extraction.extract(d, extraction.learn(d, "text"), "text"),
     "toxicity": lambda s, d: toxicity.score(d, toxicity.Model(-5.0, {"one": 9.0})),
@@ -132,26 +132,75 @@ def test_near_duplicates_by_brute_force(spark, monkeypatch):
         assert (got[i].class_id, got[i].n_links) == (min(seen), len(near[i])), i
 
 
-def test_suffix_states_are_distributions(spark):
-    rng = random.Random(3)
-    texts = [" ".join(rng.choice(["a b c", "a b d", "x y", "b a"]) for _ in range(60)) for _ in range(20)]
-    tree, tail = suffix_lm.learn(table(spark, texts), share=1e-3, nats=5.0)
-    assert tail.count() == 0 and any((~np.isnan(level.left)).any() for level in tree.levels[:-1])
-    for context in (["a", "b"], ["x"], ["x", "y"], []):
-        ids = [tree.words[w.encode()] for w in context]
-        total = 0.0
-        for word in [*tree.words.values(), suffix_lm.END]:
-            tokens, starts = np.array([*ids, word]), np.array([0, len(ids) + 1])
-            total += 10 ** suffix_lm.log_probabilities(tokens, starts, tree)[-1]
-        left = suffix_lm.log_probabilities(np.array([*ids, -1]), np.array([0, len(ids) + 1]), tree)[-1]
-        assert math.isclose(total + 10**left, 1.0, rel_tol=1e-9)
+def brute_tree(texts, depth, least, nats, discount):
+    """log10 of a word's probability after the words before it, by a suffix tree of dicts."""
+    counts = Counter(tuple(t[i : i + k]) for t in texts for k in range(1, depth + 2) for i in range(len(t) - k + 1))
+    total = sum(n for g, n in counts.items() if len(g) == 1)
+    scale = total + sum(len(g) == 1 for g in counts) + 1
+    frequent = {g: n for g, n in counts.items() if n >= least}
+    rate = lambda g: (counts[g] + 1) / scale if len(g) == 1 else counts[g] / counts[g[:-1]]
+    after = {}
+    for g in frequent:
+        if len(g) > 1:
+            after.setdefault(g[:-1], []).append(g)
+    kept = set()
+    for c, grams in after.items():
+        rare = counts[c] - sum(counts[g] for g in grams)
+        other = max(counts[c] * (1 - sum(rate(g[1:]) for g in grams)), 1e-9)
+        gain = sum(counts[g] * math.log(rate(g) / rate(g[1:])) for g in grams) + (rare * math.log(rare / other) if rare else 0)
+        if gain >= nats:
+            kept |= {c[i:] for i in range(len(c))}
+
+    def p(context, word):
+        if not context:
+            return (counts[(word,)] + 1) / scale
+        low = p(context[1:], word)
+        if context not in kept:
+            return low
+        mass = sum(counts[g] - discount for g in after[context])
+        return max(frequent.get((*context, word), 0) - discount, 0) / counts[context] + (1 - mass / counts[context]) * low
+
+    return p, kept, counts
+
+
+def lm_texts(seed, n):
+    rng = random.Random(seed)
+    return [" ".join(rng.choice(["a b c", "a b d", "x y", "b a", f"r{rng.randrange(40)}", "A  q"]) for _ in range(rng.randrange(50))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("held", [0, 12, 10**6])
+@pytest.mark.parametrize("depth, nats", [(2, 1.0), (3, 4.0), (1, 0.0)])
+def test_suffix_tree_by_brute_force(spark, held, depth, nats):
+    texts = [*lm_texts(3, 60), None, "", "never seen words"]
+    split = [[*(t or "").lower().split(), None] for t in texts]
+    p, kept, _ = brute_tree(split[:50], depth, 2, nats, 0.75)
+    assert any(len(c) == depth for c in kept)
+    docs = table(spark, texts)
+    tree = suffix_lm.learn(docs.where("doc_id < 50"), depth=depth, nats=nats)
+    got = {r.doc_id: r.score for r in suffix_lm.score(docs, tree, depth=depth, held=held).collect()}
+    for i, t in enumerate(split):
+        want = sum(math.log10(p(tuple(t[max(0, j - depth) : j]), w)) for j, w in enumerate(t))
+        assert math.isclose(got[i], want, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_suffix_states_are_distributions():
+    split = [[*t.lower().split(), None] for t in lm_texts(5, 40)]
+    p, kept, counts = brute_tree(split, 2, 2, 1.0, 0.75)
+    for context in kept:
+        unknown = p(context, "never seen")
+        assert math.isclose(sum(p(context, g[0]) for g in counts if len(g) == 1) + unknown, 1.0, rel_tol=1e-9)
+
+
+def test_tree_grows_with_the_text(spark):
+    sizes = [suffix_lm.learn(table(spark, lm_texts(9, n))).values.count() for n in (40, 400)]
+    assert sizes[1] > sizes[0]
 
 
 def test_base_scores_by_brute_force(spark):
     texts = ["The cat  sat", "the dog", None, "", "rare words only", "the cat the cat"]
     docs = table(spark, texts)
     train = docs.where("doc_id <> 4")
-    got = {r.doc_id: r for r in suffix_lm.score(docs, *suffix_lm.learn(train)).collect()}
+    got = {r.doc_id: r for r in suffix_lm.score(docs, suffix_lm.learn(train)).collect()}
     words = lambda t: [*(t or "").lower().split(), None]
     c = Counter(w for i, t in enumerate(texts) if i != 4 for w in words(t))
     n, v = sum(c.values()), len(c)
