@@ -38,6 +38,7 @@ END = xxhash.xxh64_intdigest(b"")  # no word is empty
 class Tree:
     """``values``: ``key, n, base, value``; ``base`` (words only) is log10(n + 1)."""
 
+    depth: int
     tokens: int
     distinct: int
     values: DataFrame
@@ -159,7 +160,7 @@ def renamed(df: DataFrame, **names: str) -> DataFrame:
     return df.select(*[F.col(old).alias(new) for new, old in names.items()])
 
 
-def learn(train: DataFrame, text: str = "text", depth: int = 2, least: int = 2, nats: float = 4.0,
+def learn(train: DataFrame, text: str = "text", depth: int = 3, least: int = 2, nats: float = 4.0,
           discount: float = 0.75) -> Tree:
     """The tree.  All texts are counted.  Null texts are empty ones: their end counts.  Repeated rows count
     as often as they stand.  Without texts every word is the unknown one."""
@@ -177,7 +178,7 @@ def learn(train: DataFrame, text: str = "text", depth: int = 2, least: int = 2,
             .withColumn("rate", F.col("n") / F.col("whole"))
         )
         levels.append(stage(level))
-    return Tree(tokens, distinct, stage(valued(levels, kept_contexts(levels, nats, discount), discount)))
+    return Tree(depth, tokens, distinct, stage(valued(levels, kept_contexts(levels, nats, discount), discount)))
 
 
 def kept_contexts(levels: list[DataFrame], nats: float, discount: float) -> list[DataFrame]:
@@ -292,19 +293,18 @@ def scorer(head: pa.Table, rest: np.ndarray, depth: int, spark) -> Callable[...,
     return summed
 
 
-def score(texts: DataFrame, tree: Tree, text: str = "text", depth: int = 2, held: int = 500_000) -> DataFrame:
+def score(texts: DataFrame, tree: Tree, text: str = "text", held: int = 500_000) -> DataFrame:
     """Input columns but the text, and ``n_tokens, n_known, base_score, score``; one row per row.
 
     Whole texts are scored.  A null or empty text is its end token.  Repeated rows come
     out alike; an empty table gives no rows; input columns named as an output give way.
-    ``depth`` is that of the tree.  ``held`` bounds what goes to the tasks and changes no score
-    beyond the rounding of sums.
+    ``held`` bounds what goes to the tasks and changes no score beyond the rounding of sums.
     """
     spark = texts.sparkSession
     outputs = ("n_tokens", "n_known", "base_score", "score")
     carried = [c for c in texts.columns if c != text and c.lower() not in outputs]
     head, tail = split_by_count(tree.values, held)
-    summed = scorer(head.select("key", "base", "value").toArrow(), bitmap(tail.select("key")), depth, spark)
+    summed = scorer(head.select("key", "base", "value").toArrow(), bitmap(tail.select("key")), tree.depth, spark)
     line = F.struct(*[F.col(f"`{c}`") for c in carried]) if carried else F.lit("").alias("none")
     scored = stage(texts.select(F.monotonically_increasing_id().alias("row"), line.alias("line"),
                                 summed(F.col(f"`{text}`")).alias("s")))

@@ -177,7 +177,7 @@ def test_suffix_tree_by_brute_force(spark, held, depth, nats):
     assert any(len(c) == depth for c in kept)
     docs = table(spark, texts)
     tree = suffix_lm.learn(docs.where("doc_id < 50"), depth=depth, nats=nats)
-    got = {r.doc_id: r.score for r in suffix_lm.score(docs, tree, depth=depth, held=held).collect()}
+    got = {r.doc_id: r.score for r in suffix_lm.score(docs, tree, held=held).collect()}
     for i, t in enumerate(split):
         want = sum(math.log10(p(tuple(t[max(0, j - depth) : j]), w)) for j, w in enumerate(t))
         assert math.isclose(got[i], want, rel_tol=1e-9, abs_tol=1e-9)
