@@ -1,7 +1,7 @@
 """Language-model scores from a probabilistic suffix tree held as Spark tables.
 
-The tree holds contexts of up to ``depth`` words.  Grams seen ``least`` times or more are counted
-level by level; a gram can only be frequent if its first and its last words are.  A context is
+The tree holds contexts of up to ``depth`` words.  A first pass finds which grams are seen twice, by
+a few bits of each; a second one counts those, and grams seen ``least`` times or more stay.  A context is
 kept where its next-word counts differ from those of its suffix by enough nats (a likelihood-ratio
 test).  Its distribution is smoothed by absolute discounting towards its suffix's, down to the
 empty context, whose add-one distribution covers all words and one unknown.  A word is scored in
@@ -118,40 +118,88 @@ def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[lane] >> (keys & np.uint64(63))) & np.uint64(1) == 1
 
 
-def gram_counts(train: DataFrame, text: str, length: int, frequent: np.ndarray | None) -> DataFrame:
-    """``key, context, suffix, n`` of the grams of a length, by their parts as far as ``frequent`` tells.
-    The context is the gram without its last word, the suffix that without its first."""
-    shared = train.sparkSession.sparkContext.broadcast(frequent)
+def repeated(train: DataFrame, text: str, most: int, held: int = 2_000_000) -> DataFrame:
+    """``key``: the last 27 bits of all grams of 2 to ``most`` words seen twice or more, and of few others.
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, hashes = shared.value, Hashes()
-        held: list[np.ndarray] = []
+    Tasks send 32 bits a gram, dealt by further bits, so that a group holds about ``held`` of them.
+    """
+    size = train.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`"))), F.lit(0)).alias("n")).first().n
+    deals = np.uint64(max(1, min(2**18, size * (most - 1) // 4 // (256 * held))))
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        waiting: list[np.ndarray] = []
         size = 0
 
         def out() -> pa.RecordBatch:
-            key, first, n = np.unique(np.concatenate([h[0] for h in held]), return_index=True, return_counts=True)
-            parts = [np.concatenate([h[i] for h in held])[first].view(np.int64) for i in (1, 2)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in (key.view(np.int64), *parts, n)],
-                                              ["key", "context", "suffix", "n"])
+            key, n = np.unique(np.concatenate(waiting), return_counts=True)
+            key = np.concatenate((key, key[n > 1]))  # twice is enough
+            group = (key >> np.uint64(19) & np.uint64(255)) * deals + (key >> np.uint64(27) & np.uint64(2**18 - 1)) % deals
+            entry = (key & np.uint64(2**19 - 1) | key >> np.uint64(45) << np.uint64(19)).astype(np.uint32)
+            order = np.argsort(group, kind="stable")
+            group, entry = group[order], entry[order]
+            first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))[: len(group)])
+            pieces = [x.tobytes() for x in np.split(entry, first[1:])] if len(first) else []
+            return pa.RecordBatch.from_arrays([pa.array(group[first].astype(np.int64)), pa.array(pieces, pa.binary())],
+                                              ["deal", "entries"])
 
         for batch in batches:
             for texts in slices(batch.column(0)):
-                grams, place = grams_of(*tokens_of(texts, hashes), length)
-                good = place >= length - 1
-                context, suffix = (np.roll(grams[-2], 1), grams[-2]) if length > 1 else (grams[0], grams[0])
-                if frequent is not None:
-                    good = good & passes(frequent, suffix) & passes(frequent, context)
-                held.append(np.stack([grams[-1][good], context[good], suffix[good]]))
-                size += held[-1].shape[1]
-                if size > 2_000_000:
+                grams, place = grams_of(*tokens_of(texts, hashes), most)
+                waiting.extend(g[place >= k] for k, g in enumerate(grams) if k)
+                size += len(place)
+                if size > 1_000_000:
                     yield out()
-                    held.clear()
+                    waiting.clear()
                     size = 0
-        if held:
+        if waiting:
             yield out()
 
-    rows = train.select(text).mapInArrow(counted, "key long, context long, suffix long, n long")
-    return rows.groupBy("key").agg(
+    def twice(group: pa.Table) -> pa.Table:
+        entry, n = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in group["entries"].to_pylist()]), return_counts=True)
+        low = np.unique(entry[n > 1] & np.uint32(2**19 - 1)).astype(np.int64)
+        return pa.table({"key": low + (group["deal"][0].as_py() // int(deals) << 19)})
+
+    return train.select(text).mapInArrow(sent, "deal long, entries binary").groupBy("deal").applyInArrow(twice, "key long")
+
+
+def gram_counts(train: DataFrame, text: str, most: int, twice: np.ndarray) -> DataFrame:
+    """``key, length, context, suffix, n`` of all words, and of the longer grams that ``twice`` lets through.
+    The context is the gram without its last word, the suffix that without its first."""
+    shared = train.sparkSession.sparkContext.broadcast(twice)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        twice, hashes = shared.value, Hashes()
+        waiting: list[list[np.ndarray]] = [[] for _ in range(most)]
+        size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for k, parts in enumerate(waiting):
+                key, first, n = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_counts=True)
+                sides = [np.concatenate([p[i] for p in parts])[first].view(np.int64) for i in (1, 2)]
+                length = np.full(len(key), k + 1, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key.view(np.int64), length, *sides, n)],
+                                                 ["key", "length", "context", "suffix", "n"])
+                parts.clear()
+
+        for batch in batches:
+            for texts in slices(batch.column(0)):
+                grams, place = grams_of(*tokens_of(texts, hashes), most)
+                nothing = np.zeros(len(place), dtype=np.uint64)
+                waiting[0].append(np.stack([grams[0], nothing, nothing]))
+                good = np.ones(len(place), dtype=bool)
+                for k in range(1, most):
+                    good = good & np.roll(good, 1) & (place >= k) & passes(twice, grams[k])
+                    waiting[k].append(np.stack([grams[k], np.roll(grams[k - 1], 1), grams[k - 1]])[:, good])
+                size += len(place)
+                if size > 1_000_000:
+                    yield from out()
+                    size = 0
+        if waiting[0]:
+            yield from out()
+
+    rows = train.select(text).mapInArrow(counted, "key long, length int, context long, suffix long, n long")
+    return rows.groupBy("key", "length").agg(
         F.sum("n").alias("n"), F.min("context").alias("context"), F.min("suffix").alias("suffix")
     )
 
@@ -160,20 +208,22 @@ def renamed(df: DataFrame, **names: str) -> DataFrame:
     return df.select(*[F.col(old).alias(new) for new, old in names.items()])
 
 
-def learn(train: DataFrame, text: str = "text", depth: int = 3, least: int = 2, nats: float = 4.0,
+def learn(train: DataFrame, text: str = "text", depth: int = 2, least: int = 2, nats: float = 4.0,
           discount: float = 0.75) -> Tree:
     """The tree.  All texts are counted.  Null texts are empty ones: their end counts.  Repeated rows count
-    as often as they stand.  Without texts every word is the unknown one."""
-    words = stage(gram_counts(train, text, 1, None).select("key", "n"))
+    as often as they stand.  Without texts every word is the unknown one.  ``least`` is 2 or more."""
+    grams = gram_counts(train, text, depth + 1, bitmap(repeated(train, text, depth + 1)))
+    grams = stage(grams.where((F.col("length") == 1) | (F.col("n") >= max(2, least))))
+    words = grams.where("length = 1").select("key", "n")
     row = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     tokens, distinct = int(row.n), int(row.v)
     share = (F.col("n") + 1) / F.lit(float(tokens + distinct + 1))
     levels = [words.withColumn("rate", share)]
     for length in range(2, depth + 2):
         below = levels[-1].where(F.col("n") >= least)
-        counted = gram_counts(train, text, length, bitmap(below.select("key"))).where(F.col("n") >= least)
         level = (
-            counted.join(renamed(below, context="key", whole="n"), "context")
+            grams.where(F.col("length") == length).drop("length")
+            .join(renamed(below, context="key", whole="n"), "context")
             .join(renamed(below, suffix="key", there="rate"), "suffix")
             .withColumn("rate", F.col("n") / F.col("whole"))
         )
