@@ -19,17 +19,19 @@ Words and grams are known by 64-bit hashes.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harbinger.llm.common import lowered_words
-from harbinger.session import stage
+from harbinger.session import shared_folder
 
 END = xxhash.xxh64_intdigest(b"")  # no word is empty
 
@@ -92,7 +94,37 @@ def slices(column: pa.Array, rows: int = 128) -> Iterator[list[str | None]]:
         yield column.slice(i, rows).to_pylist()
 
 
-def bitmap(keys: DataFrame, width: int = 27) -> np.ndarray:
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """What a query has shuffled is removed at its end, as its rows are kept elsewhere by then."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+class Scratch:
+    """Tables of one run in a folder of their own within the shared folder; each goes once it has been used."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{shared_folder(spark)}/suffix-tree-{uuid.uuid4().hex}"
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        with freed(self.spark):
+            df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bitmap(keys: DataFrame, scratch: Scratch, width: int = 27) -> np.ndarray:
     """Bits set at the last ``width`` bits of each key: 16 MB whatever the number of keys."""
     part = 19  # bits of a place inside a block; a block has at most 2^13 rows
     lanes = keys.groupBy(F.expr(f"key & {2**width - 64}L").alias("slot")).agg(
@@ -108,8 +140,10 @@ def bitmap(keys: DataFrame, width: int = 27) -> np.ndarray:
         packed, "block int, bits binary"
     )
     out = np.zeros((2 ** (width - part), 2 ** (part - 6)), dtype=np.int64)
-    for r in rows.toLocalIterator():
+    name = f"bits-{uuid.uuid4().hex}"
+    for r in scratch.stage(rows, name).toLocalIterator():
         out[r.block] = np.frombuffer(r.bits, dtype=np.int64)
+    scratch.drop(name)
     return out.reshape(-1).view(np.uint64)
 
 
@@ -212,8 +246,9 @@ def learn(train: DataFrame, text: str = "text", depth: int = 2, least: int = 2,
           discount: float = 0.75) -> Tree:
     """The tree.  All texts are counted.  Null texts are empty ones: their end counts.  Repeated rows count
     as often as they stand.  Without texts every word is the unknown one.  ``least`` is 2 or more."""
-    grams = gram_counts(train, text, depth + 1, bitmap(repeated(train, text, depth + 1)))
-    grams = stage(grams.where((F.col("length") == 1) | (F.col("n") >= max(2, least))))
+    scratch = Scratch(train.sparkSession)
+    grams = gram_counts(train, text, depth + 1, bitmap(repeated(train, text, depth + 1), scratch))
+    grams = scratch.stage(grams.where((F.col("length") == 1) | (F.col("n") >= max(2, least))), "grams")
     words = grams.where("length = 1").select("key", "n")
     row = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     tokens, distinct = int(row.n), int(row.v)
@@ -227,11 +262,15 @@ def learn(train: DataFrame, text: str = "text", depth: int = 2, least: int = 2,
             .join(renamed(below, suffix="key", there="rate"), "suffix")
             .withColumn("rate", F.col("n") / F.col("whole"))
         )
-        levels.append(stage(level))
-    return Tree(depth, tokens, distinct, stage(valued(levels, kept_contexts(levels, nats, discount), discount)))
+        levels.append(scratch.stage(level, f"level-{length}"))
+    kept = kept_contexts(levels, nats, discount, scratch)
+    values = scratch.stage(valued(levels, kept, discount, scratch), "values")
+    lengths = range(2, depth + 2)
+    scratch.drop("grams", *[f"{name}-{k}" for k in lengths for name in ("level", "rates", "kept")])
+    return Tree(depth, tokens, distinct, values)
 
 
-def kept_contexts(levels: list[DataFrame], nats: float, discount: float) -> list[DataFrame]:
+def kept_contexts(levels: list[DataFrame], nats: float, discount: float, scratch: Scratch) -> list[DataFrame]:
     """``context, rest`` of the kept contexts of each length: ``rest`` is the mass left to the suffix.  A kept
     context keeps its suffixes, so that the states form a tree."""
     kept: list[DataFrame] = []
@@ -250,11 +289,11 @@ def kept_contexts(levels: list[DataFrame], nats: float, discount: float) -> list
             longer = kept[-1].join(renamed(levels[k], context="key", suffix="suffix"), "context")
             needed = longer.select(F.col("suffix").alias("context"), F.lit(True).alias("needed")).distinct()
             sums, wanted = sums.join(needed, "context", "left"), wanted | F.col("needed")
-        kept.append(stage(sums.where(wanted).select("context", "rest")))
+        kept.append(scratch.stage(sums.where(wanted).select("context", "rest"), f"kept-{k + 1}"))
     return kept[::-1]
 
 
-def valued(levels: list[DataFrame], kept: list[DataFrame], discount: float) -> DataFrame:
+def valued(levels: list[DataFrame], kept: list[DataFrame], discount: float, scratch: Scratch) -> DataFrame:
     """``key, n, base, value`` of all words and of those longer grams that change a score."""
     parts = []
     below = levels[0].select("key", "n", F.log10(F.col("n") + 1.0).alias("base"), F.col("rate").alias("p"),
@@ -264,10 +303,10 @@ def valued(levels: list[DataFrame], kept: list[DataFrame], discount: float) -> D
             rows = levels[k].join(kept[k - 1], "context", "left").join(renamed(below, suffix="key", low="p"), "suffix")
             left = F.col("rest") * F.col("low")
             p = F.greatest(F.col("n") - discount, F.lit(0.0)) / F.col("whole") + left
-            below = stage(rows.select(
+            below = scratch.stage(rows.select(
                 "key", "n", F.lit(None).cast("double").alias("base"), F.coalesce(p, "low").alias("p"),
                 F.coalesce(F.log10(p / left), F.lit(0.0)).alias("gain"),
-            ))
+            ), f"rates-{k + 1}")
         value: Column = F.col("gain")
         rows = below
         if k < len(kept):
@@ -351,13 +390,14 @@ def score(texts: DataFrame, tree: Tree, text: str = "text", held: int = 500_000)
     ``held`` bounds what goes to the tasks and changes no score beyond the rounding of sums.
     """
     spark = texts.sparkSession
+    scratch = Scratch(spark)
     outputs = ("n_tokens", "n_known", "base_score", "score")
     carried = [c for c in texts.columns if c != text and c.lower() not in outputs]
     head, tail = split_by_count(tree.values, held)
-    summed = scorer(head.select("key", "base", "value").toArrow(), bitmap(tail.select("key")), tree.depth, spark)
+    summed = scorer(head.select("key", "base", "value").toArrow(), bitmap(tail.select("key"), scratch), tree.depth, spark)
     line = F.struct(*[F.col(f"`{c}`") for c in carried]) if carried else F.lit("").alias("none")
-    scored = stage(texts.select(F.monotonically_increasing_id().alias("row"), line.alias("line"),
-                                summed(F.col(f"`{text}`")).alias("s")))
+    scored = scratch.stage(texts.select(F.monotonically_increasing_id().alias("row"), line.alias("line"),
+                                        summed(F.col(f"`{text}`")).alias("s")), "scored")
     asked = scored.select("row", F.explode(F.arrays_zip("s.keys", "s.times")).alias("t")).select(
         "row", F.col("t.keys").alias("key"), F.col("t.times").alias("times")
     )
