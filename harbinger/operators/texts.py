@@ -21,6 +21,15 @@ TEXT_FEATURES = SENTIMENT + MEASURES + ENTITY_COUNTS
 
 # Fixed value: the normalising constant of the published compound score.
 COMPOUND_ALPHA = 15.0
+FEW_WORDS = 100_000  # rows of a lexicon or gazetteer that every executor holds
+
+
+def held(words: DataFrame) -> DataFrame:
+    """A table of words, broadcast where it has at most FEW_WORDS rows.
+
+    Spark knows no size of a table made in the session and would shuffle every word of every text to it.
+    """
+    return F.broadcast(words) if words.limit(FEW_WORDS + 1).count() <= FEW_WORDS else words
 
 
 def article_text(articles: DataFrame) -> DataFrame:
@@ -44,11 +53,11 @@ def sentiment(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Subjectivity (mean over matched tokens) and neutrality from a lexicon table
     ``token, subjectivity, valence``.
 
-    Tokens meet the lexicon before they are summed; Spark broadcasts the lexicon when its
-    size allows, so only partial sums are shuffled, and otherwise joins by token.  Articles with empty text
+    Tokens meet the lexicon before they are summed; a lexicon of few rows is broadcast, so only
+    partial sums are shuffled, and others are joined by token.  Articles with empty text
     get 0 for both; a text without any match is fully neutral.
     """
-    found = tokens(texts).join(lexicon, "token")
+    found = tokens(texts).join(held(lexicon), "token")
     scores = found.groupBy("article_id").agg(F.avg("subjectivity").alias("subj"), F.sum("valence").alias("s"))
     s = F.coalesce("s", F.lit(0.0))
     empty = F.length("text") == 0
@@ -64,21 +73,24 @@ def gazetteer_mentions(texts: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Mentions ``article_id, ent_text, label, n``: every run of words that is a phrase of
     the gazetteer (``phrase, label``; words joined by one blank).
 
-    The longest phrase says how long runs get; one aggregate of the gazetteer finds it.
+    Words are found once per text and become rows one by one, each with as many of the words after it as
+    the longest phrase takes; one aggregate of the gazetteer finds that number.
     """
-    max_words = gazetteer.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1
-    words = F.regexp_extract_all("text", F.lit(WORD), 0)
-    # runs of n + 1 words = runs of n words beside the words shifted by n; the shorter
-    # side is padded with null, so runs that would pass the end become null
-    grams, sizes = words, [words]
-    for shift in range(1, max_words):
-        grams = F.zip_with(grams, F.slice(words, F.lit(shift + 1), F.greatest(F.size(words), F.lit(0))), lambda g, w: F.concat(g, F.lit(" "), w))
-        sizes.append(grams)
-    phrases = texts.select("article_id", F.explode(F.concat(*sizes)).alias("phrase")).where(F.col("phrase").isNotNull())
-    # the join comes before the count: with a gazetteer that Spark broadcasts, only
-    # mentions are shuffled and never the word runs
-    found = phrases.join(gazetteer, "phrase")
-    return found.groupBy("article_id", F.col("phrase").alias("ent_text"), "label").agg(F.count("*").alias("n"))
+    pieces = gazetteer.select(F.split("phrase", " ").alias("pieces"), F.col("phrase").alias("ent_text"), "label")
+    phrases = pieces.select(
+        F.col("pieces")[0].alias("word"), F.slice("pieces", 2, F.size("pieces")).alias("rest"), "ent_text", "label"
+    ).where(F.col("word").isNotNull())
+    more = phrases.agg(F.max(F.size("rest"))).first()[0] or 0
+    words = texts.select("article_id", F.regexp_extract_all("text", F.lit(WORD), 0).alias("words"))
+    each = words.select("article_id", "words", F.posexplode("words").alias("at", "word"))
+    runs = each.select("article_id", "word", F.slice("words", F.col("at") + 2, more).alias("next")) if more else (
+        each.select("article_id", "word", F.expr("slice(words, 1, 0)").alias("next"))
+    )
+    # the join comes before the count: with a gazetteer that is broadcast, only
+    # mentions are shuffled and never the words
+    met = runs.join(held(phrases), "word")
+    found = met.where(F.slice("next", 1, F.size("rest")) == F.col("rest"))
+    return found.groupBy("article_id", "ent_text", "label").agg(F.count("*").alias("n"))
 
 
 def entity_counts(articles: DataFrame, mentions: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ from harbinger.operators import (
     shapley,
     significance,
     social,
+    texts,
     topics,
     trajectory,
 )
@@ -227,6 +228,35 @@ def test_percentiles_and_missing_coordinates(spark):
         geometry.normalise_results(df.withColumn("snapshot_date", F.lit("2024-01-01")))
 
 
+# ---------------------------------------------------------------- texts
+
+
+def test_gazetteer_phrases_of_any_length(spark):
+    df = spark.createDataFrame(
+        [(1, "New York is new york, New York City"), (2, "York  New"), (3, None), (4, ""), (5, "a b a b a")], "article_id BIGINT, text STRING"
+    )
+    names = spark.createDataFrame(
+        [("New York", "LOC"), ("New", "MISC"), ("New York City", "LOC"), ("a b a", "ORG"), ("a b a", "PER"), ("b  a", "PER"), (None, "PER"), ("", "ORG")],
+        "phrase STRING, label STRING",
+    )
+    got = {tuple(r) for r in texts.gazetteer_mentions(df, names).collect()}
+    assert got == {
+        (1, "New York", "LOC", 2), (1, "New", "MISC", 2), (1, "New York City", "LOC", 1), (2, "New", "MISC", 1),
+        (5, "a b a", "ORG", 2), (5, "a b a", "PER", 2),
+    }
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_words_of_texts_are_not_shuffled_to_few_phrases(spark, monkeypatch, few):
+    monkeypatch.setattr(texts, "FEW_WORDS", few)
+    df = spark.createDataFrame([(i, "of the und pour") for i in range(50)], "article_id BIGINT, text STRING")
+    names = spark.createDataFrame([("of the", "ORG"), ("und", "PER")], "phrase STRING, label STRING")
+    found = texts.gazetteer_mentions(df, names)
+    assert found.count() == 100
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert ("broadcast" in plan) == (few > 0)
+
+
 # ---------------------------------------------------------------- share graph
 
 
