@@ -19,7 +19,7 @@ from harbinger.functions.vectors import (
     mean_by_dimension,
     variance_by_dimension,
 )
-from harbinger.operators.neighbours import BLOCK, distance_summary, nearest
+from harbinger.operators.neighbours import BLOCK, list_summary, nearest_lists
 from harbinger.operators.trajectory import after_warmup
 from harbinger.session import cut_lineage, keep
 
@@ -183,16 +183,16 @@ def recent_outliers(hist: DataFrame, lookback_days: int) -> DataFrame:
 
 def density(queries: DataFrame, hist: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """Mean and deviation of the k smallest distances to the history (itself included)."""
-    found = nearest(queries, validity(hist), k, block)
-    return distance_summary(found).select(
+    found = nearest_lists(queries, validity(hist), k, block)
+    return list_summary(found).select(
         "model", "article_id", "at", F.col("mean").alias("knn_mean_k20"), F.col("std").alias("knn_std_k20")
     )
 
 
 def prototype_distance(queries: DataFrame, outliers: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """Mean of the k smallest distances to recent outliers."""
-    found = nearest(queries, validity(outliers), k, block)
-    return distance_summary(found).select(
+    found = nearest_lists(queries, validity(outliers), k, block)
+    return list_summary(found).select(
         "model", "article_id", "at", F.col("mean").alias("outlier_proto_mean_dist")
     )
 

@@ -220,6 +220,45 @@ def test_nearest_against_brute_force(spark, block):
         assert math.isclose(r["mean"], d.mean(), abs_tol=1e-9) and math.isclose(r["std"], d.std(), abs_tol=1e-9)
 
 
+@pytest.mark.parametrize("block", [1000, 16])
+def test_kth_distances_at_all_times_against_brute_force(spark, block):
+    rng = np.random.default_rng(5)
+    pts = rng.normal(size=(160, 3)) + 1e4  # far from the origin
+    pts[20:60] = pts[20]
+    since = rng.integers(1, 9, size=160)
+    mult = rng.integers(1, 3, size=160)
+    rows = [(0, i, [float(x) for x in pts[i]], int(since[i]), int(mult[i])) for i in range(160)]
+    points = spark.createDataFrame(rows, "model INT, article_id BIGINT, coords ARRAY<DOUBLE>, since INT, mult BIGINT")
+    got = neighbours.kth_distances(points.drop("mult"), points, 9, 4, block).collect()
+    assert len(got) == (10 - since).sum()
+    for r in got:
+        there = np.flatnonzero(since <= r["at"])
+        d = np.sort(np.repeat(np.sqrt(((pts[there] - pts[r["article_id"]]) ** 2).sum(axis=1)), mult[there]))
+        assert (r["core"] is None) == (len(d) < 4)
+        assert r["core"] is None or math.isclose(r["core"], d[3], abs_tol=1e-9)
+
+
+def test_a_query_travels_to_one_task(spark, tmp_path, monkeypatch):
+    """Rows shuffled: a query once, a point once for each task of its model."""
+    monkeypatch.setattr(neighbours, "TASKS", 4)
+    rng = np.random.default_rng(6)
+    rows = [(0, i, [float(x) for x in rng.normal(size=8)], 1, 1) for i in range(600)]
+    points = spark.createDataFrame(rows, "model INT, article_id BIGINT, coords ARRAY<DOUBLE>, since INT, until INT")
+    queries = points.select("model", "article_id", F.lit(1).alias("at"), "coords")
+    sent = []
+    dealt = neighbours._dealt
+    monkeypatch.setattr(neighbours, "_dealt", lambda a, b, n: sent.append((a.count(), b.count(), n)) or dealt(a, b, n))
+    assert neighbours.nearest(queries, points, 5, 16).count() == 3000
+    assert sent == [(600, 600 * 4, 4)]
+
+
+def test_points_without_numbers_are_near_to_nothing(spark):
+    rows = [(0, 1, [0.0, 1.0]), (0, 2, [float("nan"), 1.0]), (0, 3, [None, 1.0]), (0, 4, [float("inf"), 1.0]), (None, 5, [0.0, 1.0]), (0, 6, None)]
+    df = spark.createDataFrame(rows, "model INT, article_id BIGINT, coords ARRAY<DOUBLE>").withColumns({"since": F.lit(1), "until": F.lit(1)})
+    got = neighbours.nearest(df.withColumn("at", F.lit(1)), df, 3).collect()
+    assert [(r["article_id"], r["neighbour"]) for r in got] == [(1, 1)]
+
+
 def test_percentiles_and_missing_coordinates(spark):
     df = spark.createDataFrame([(0, 1, 2.0), (0, 2, 2.0), (0, 3, 5.0), (0, 4, None)], "model INT, article_id INT, x DOUBLE")
     got = {r["article_id"]: r["x_pct"] for r in geometry.percentiles(df, ["x"]).collect()}
