@@ -250,7 +250,8 @@ def stability(name: str, rows: DataFrame, features: list[str], warmup_weeks: int
 
 
 def grid(rows: DataFrame, features: list[str], warmups: list[int], windows: list[int], s: Settings) -> DataFrame:
-    """Warm-up x window settings with their pooled scores."""
+    """Warm-up x window settings with their pooled scores; the rows are worked out once for all settings."""
+    rows = cut_lineage(rows)
     out = []
     for warmup in warmups:
         for w in windows:

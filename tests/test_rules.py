@@ -296,6 +296,18 @@ def test_words_of_texts_are_not_shuffled_to_few_phrases(spark, monkeypatch, few)
     assert ("broadcast" in plan) == (few > 0)
 
 
+# ---------------------------------------------------------------- forward chaining
+
+
+def test_grid_works_out_its_rows_once(spark, monkeypatch):
+    rows = spark.range(10).select(F.regexp_count(F.col("id").cast("string"), F.lit("1")).alias("x"))
+    seen = []
+    monkeypatch.setattr(forward, "roll", lambda r, *rest: seen.append(r) or (None, None))
+    forward.grid(rows, ["x"], [5, 6], [14, 28], None)
+    assert len(seen) == 4
+    assert all("regexp" not in r._jdf.queryExecution().optimizedPlan().toString() for r in seen)
+
+
 # ---------------------------------------------------------------- share graph
 
 
