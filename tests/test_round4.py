@@ -3,14 +3,51 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from harbinger.functions.keyed import exact_quantile
-from harbinger.operators import neighbours
+from harbinger.operators import hierarchy, neighbours
 
 SNAPSHOTS = "model INT, at INT, article_id BIGINT, first_at INT, coords ARRAY<DOUBLE>"
 POINTS = "model INT, at INT, node BIGINT, coords ARRAY<DOUBLE>, core DOUBLE"
 
 
+def blobs(n, seed, times):
+    rng = np.random.default_rng(seed)
+    x = np.round(rng.uniform(-6, 6, (5, 2))[rng.integers(0, 5, n)] + rng.normal(0, 0.4, (n, 2)), 2)
+    x[: n // 10] = x[n // 2 : n // 2 + n // 10]  # copies
+    rows = []
+    for i in range(n):
+        first = 1 + i % times
+        rows += [(seed % 2, at, i, first, [float(c) for c in x[i]]) for at in range(first, times + 1)]
+    return rows
+
+
+def test_one_task_a_snapshot_gives_what_joins_give(spark, monkeypatch):
+    df = spark.createDataFrame(blobs(160, 4, 3) + blobs(60, 5, 3), SNAPSHOTS).localCheckpoint()
+    want = {tuple(r) for r in hierarchy.hierarchical_clusters(df, few=30).withColumn("outlier_score", F.round("outlier_score", 9)).collect()}
+    monkeypatch.setattr(hierarchy, "births", None)  # small snapshots need no joins
+    got = {tuple(r) for r in hierarchy.hierarchical_clusters(df).withColumn("outlier_score", F.round("outlier_score", 9)).collect()}
+    assert got == want and len(got) == df.count()
+    assert max(r[3] for r in got) > 1
+
+
+def test_points_travel_once_a_group_of_snapshots(spark, monkeypatch):
+    """Not once for every pair of blocks of every snapshot."""
+    seen = []
+    dealt = neighbours._dealt
+
+    def counted(asked, visitors, tasks):
+        out = dealt(asked, visitors, tasks)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(neighbours, "_dealt", counted)
+    df = spark.createDataFrame([(0, at, i, [float(i % 37), float(i // 37)], 1.0) for at in range(1, 65) for i in range(200)], POINTS)
+    assert hierarchy.spanning_forest(df, 32).count() == 64 * 199
+    assert max(seen) <= 200 * neighbours.TASKS
+
+
 @pytest.mark.parametrize("share", [0.0, 0.1, 0.5, 0.999, 1.0])
 def test_exact_quantile(spark, share):
     rng = np.random.default_rng(2)
