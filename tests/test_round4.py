@@ -32,6 +32,28 @@ def test_one_task_a_snapshot_gives_what_joins_give(spark, monkeypatch):
     assert max(r[3] for r in got) > 1
 
 
+@pytest.mark.parametrize("few", [10**6, 0])
+def test_forest_of_a_snapshot_that_tasks_share(spark, monkeypatch, few):
+    rng = np.random.default_rng(8)
+    x = np.unique(np.round(rng.normal(0, 2, (110, 2)) * 2) / 2, axis=0)
+    core = rng.uniform(0.2, 1.5, len(x)).round(1)
+    core[:3] = 0.0
+    rows = [(0, at, i, [float(c) for c in p], float(k)) for at in (1, 2, 4) for i, (p, k) in enumerate(zip(x, core)) if i % at == 0]
+    monkeypatch.setattr(neighbours, "HELD", 1)
+    got = {(r["at"], r["a"], r["b"], round(r["w"], 9)) for r in hierarchy.spanning_forest(spark.createDataFrame(rows, POINTS), 16, few).collect()}
+    w = np.maximum(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), np.maximum(core[:, None], core[None]))
+    want = set()
+    for at in (1, 2, 4):
+        here = [i for i in range(len(x)) if i % at == 0]
+        up = {i: i for i in here}
+        for weight, i, j in sorted((w[i, j], i, j) for i in here for j in here if i < j):
+            a, b = up[i], up[j]
+            if a != b:
+                up = {k: a if c == b else c for k, c in up.items()}
+                want.add((at, i, j, round(weight, 9)))
+    assert got == want
+
+
 def test_points_travel_once_a_group_of_snapshots(spark, monkeypatch):
     """Not once for every pair of blocks of every snapshot."""
     seen = []
