@@ -1,12 +1,13 @@
 """Round 4: work that grows with the tables, and the whole grid of settings."""
 
+import datetime
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from harbinger.functions.keyed import exact_quantile
-from harbinger.operators import hierarchy, neighbours
+from harbinger.operators import hierarchy, neighbours, topics
 
 SNAPSHOTS = "model INT, at INT, article_id BIGINT, first_at INT, coords ARRAY<DOUBLE>"
 POINTS = "model INT, at INT, node BIGINT, coords ARRAY<DOUBLE>, core DOUBLE"
@@ -134,3 +135,24 @@ def test_histories_need_no_bound_for_every_pair(spark, monkeypatch):
         kth = np.sort(np.where(since[None] <= at, d, np.inf), axis=1)[:, 3]
         mine = since[state.ids] <= at
         assert np.allclose(state.bound[mine, at - 1], kth[state.ids[mine]])
+
+
+def test_reconstruction_holds_articles_not_their_snapshots(spark, monkeypatch):
+    kept, keep = [], topics.keep
+    monkeypatch.setattr(topics, "keep", lambda df: kept.append(df) or keep(df))
+    rng = np.random.default_rng(3)
+    day = datetime.date(2024, 1, 1)
+    mid = np.array([[5.0, 0.0], [0.0, 5.0]])
+    ids = [*range(60), 7, 7]  # an article in three rows, of different days
+    dated = [(i, day + datetime.timedelta(days=k % 4), day + datetime.timedelta(days=k % 4)) for k, i in enumerate(ids)] + [(99, day, day + datetime.timedelta(days=9))]
+    articles = spark.createDataFrame(dated, "article_id BIGINT, pub DATE, snapshot_date DATE")
+    coords = spark.createDataFrame([(0, i, [float(c) for c in mid[i % 2] + rng.normal(0, 0.2, 2)]) for i in range(60)], "model INT, article_id BIGINT, coords ARRAY<DOUBLE>")
+    got = topics.reconstruct(articles, coords, 2, epsilon=0.5).collect()
+    assert all("at" not in df.columns for df in kept) and kept
+    days = [d for d in range(4)] + [9]
+    for d in days:
+        here = [r for r in got if r["snapshot_date"] == day + datetime.timedelta(days=d)]
+        want = sum(k % 4 <= d for k in range(len(ids)))
+        seven = [k % 4 for k, i in enumerate(ids) if i == 7 and k % 4 <= d]
+        assert len(here) == want - len(seven) + len(seven) ** 2  # rows of one article meet each other
+        assert {r["topic_id"] for r in here} <= {-1, 0, 1}
