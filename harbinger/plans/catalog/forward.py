@@ -140,7 +140,8 @@ def chain_stability(spark, sf_dir):
 
 @register("chain_grid")
 def chain_grid(spark, sf_dir):
-    return W.grid_summary(W.grid(inputs.dated_rows(spark, sf_dir), MEASURES, [5, 6], [14, 28], SMALL))
+    """All settings of the reported grid, with models of full size."""
+    return W.grid_summary(W.grid(inputs.dated_rows(spark, sf_dir), MEASURES, W.GRID_WARMUPS, W.GRID_WINDOWS, Settings()))
 
 
 @register(
