@@ -35,6 +35,21 @@ def test_one_task_a_snapshot_gives_what_joins_give(spark, monkeypatch):
     assert max(r[3] for r in got) > 1
 
 
+@pytest.mark.parametrize("at_once", [True, False])
+def test_clusters_of_no_excess_do_not_hang_on_rounding(spark, at_once):
+    """Two chains enter, and meet, at one distance: both weigh exactly nothing, which is no less than nothing."""
+    chains = [[0, 1, 2, 3, 4, 20], [5, 6, 7, 8, 9, 21]]
+    links = [(a, b) for c in chains for a, b in zip(c, c[1:])] + [(20, 21)]
+    weights = [0.1 + 0.013 * m for m in range(12)]
+    nodes = [(m, 1, i, 1, w) for m, w in enumerate(weights) for c in chains for i in c]
+    edges = [(m, 1, a, b, w) for m, w in enumerate(weights) for a, b in links]
+    nodes = spark.createDataFrame(nodes, "model INT, at INT, node BIGINT, mult BIGINT, core DOUBLE")
+    edges = spark.createDataFrame(edges, "model INT, at INT, a BIGINT, b BIGINT, w DOUBLE")
+    found = hierarchy._by_snapshot(nodes, edges, 6) if at_once else hierarchy._by_joins(nodes, edges, 6, 1 << 18)
+    got = {(r["model"], r["node"]): r["chosen"] for r in found.collect()}
+    assert got == {(m, i): k for m in range(len(weights)) for k, c in enumerate(chains) for i in c}
+
+
 @pytest.mark.parametrize("few", [10**6, 0])
 def test_forest_of_a_snapshot_that_tasks_share(spark, monkeypatch, few):
     rng = np.random.default_rng(8)
